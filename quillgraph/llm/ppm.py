@@ -1,7 +1,7 @@
 """Language-model scoring by prediction by partial matching over bytes, beside a unigram base score.
 
-Training counts every byte with its four predecessors in all training texts, and every word. The context trie
-holds the ``nodes`` most frequent contexts of up to four bytes (a context's suffix is at least as frequent, so the
+Training counts every byte with its five predecessors in all training texts, and every word. The context trie
+holds the ``nodes`` most frequent contexts of up to five bytes (a context's suffix is at least as frequent, so the
 trie is closed); its size is the model's parameter, the counts behind it cover all training texts. A byte's
 probability follows the longest context in the trie: counts over counts plus distinct symbols, an escape in
 proportion to the distinct symbols, and on each shorter context only the symbols not yet excluded; at last equal
@@ -33,8 +33,8 @@ from pyspark.sql import types as T
 
 from quillgraph.llm.common import ASCII_LOWER, cut, small_batches
 
-ORDER = 4
-NODES = 32_768
+ORDER = 5
+NODES = 65_000
 HEAD = 131_072
 EDGE = 255
 SEGMENT = 1 << 20
