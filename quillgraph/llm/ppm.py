@@ -146,46 +146,60 @@ def count(train: DataFrame, text: str = "text") -> DataFrame:
 
 
 class Trie:
-    """Contexts as rows: ``child[node, byte]`` prepends a byte, ``code[node, byte]`` is log10 of the next byte's probability."""
-
-    def __init__(self, contexts: list[tuple[int, int]], symbols: np.ndarray):
-        """contexts: (order, code), suffixes before what extends them. symbols: rows of node, byte, count."""
-        n = len(contexts) + 1
-        index = {(0, 0): 0} | {c: i for i, c in enumerate(contexts, 1)}
-        self.none = n
-        self.child = np.full((n + 1, 256), n, np.uint16 if n < 65_535 else np.uint32)
+    """Contexts as rows: ``child[node, byte]`` prepends a byte, ``code[node, byte]`` is log10 of the next byte's probability.
+
+    Only the counts travel; each process lays out its tables when it first scores.
+    """
+
+    def __init__(self, depths: np.ndarray, codes: np.ndarray, symbols: tuple[np.ndarray, np.ndarray, np.ndarray]):
+        """depths, codes: the contexts, suffixes before what extends them, as nodes 1, 2, ... symbols: node, byte, count."""
+        self.depths, self.codes, self.symbols = depths, codes, symbols
+        self.tables: tuple[np.ndarray, np.ndarray] | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"tables": None}
+
+    def lay_out(self) -> tuple[np.ndarray, np.ndarray]:
+        n = len(self.depths) + 1
+        index = {(0, 0): 0} | {c: i for i, c in enumerate(zip(self.depths.tolist(), self.codes.tolist(), strict=True), 1)}
+        child = np.full((n + 1, 256), n, np.uint16 if n < 65_535 else np.uint32)
         parent = np.zeros(n, np.int64)
-        for (order, code), i in index.items():
-            if order:
-                up = index[(order - 1, code & ((1 << 8 * (order - 1)) - 1))]
+        for (depth, code), i in index.items():
+            if depth:
+                up = index[(depth - 1, code & ((1 << 8 * (depth - 1)) - 1))]
                 parent[i] = up
-                self.child[up, code >> 8 * (order - 1)] = i
+                child[up, code >> 8 * (depth - 1)] = i
         counts = np.zeros((n, 256), np.float32)
-        counts[symbols[:, 0], symbols[:, 1]] = symbols[:, 2]
-        self.code = np.empty((n, 256), np.float32)
+        counts[self.symbols[0], self.symbols[1]] = self.symbols[2]
+        logs = np.empty((n, 256), np.float32)
         for a in range(0, n, 2048):
             at = np.arange(a, min(n, a + 2048))
-            out = self.code[a : a + 2048]
+            out = logs[a : a + 2048]
             seen = np.zeros(out.shape, bool)
             mass = np.ones(len(at))
-            for step in range(ORDER + 1):
-                live = np.ones(len(at), bool) if step == 0 else live & (was != 0)  # noqa: F821
+            live = np.ones(len(at), bool)
+            for _ in range(ORDER + 1):
                 c = counts[at] * ~seen * live[:, None]
                 some = c > 0
                 total, kinds = c.sum(1, dtype=np.float64), some.sum(1)
                 below = np.maximum(total + kinds, 1)
-                np.copyto(out, mass[:, None] * c / below[:, None], where=some)
+                np.copyto(out, mass[:, None] * c / below[:, None], where=some, casting="same_kind")
                 mass *= np.where(kinds > 0, kinds / below, 1.0)
                 seen |= some
-                was, at = at, parent[at]
+                live &= at != 0
+                at = parent[at]
             rest = np.maximum(256 - seen.sum(1), 1)
-            np.copyto(out, (mass / rest)[:, None], where=~seen)
+            np.copyto(out, (mass / rest)[:, None], where=~seen, casting="same_kind")
             np.log10(out, out=out)
+        return child, logs
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         """log10 probability of each text with its end."""
         total = np.zeros(len(texts))
-        child, code = self.child.reshape(-1), self.code.reshape(-1)
+        if self.tables is None:
+            self.tables = self.lay_out()
+        none = len(self.depths) + 1
+        child, code = (t.reshape(-1) for t in self.tables)
         for data, whose, starts in pieces(texts):
             a = np.frombuffer(data, np.uint8).astype(np.int32)
             n = len(a) - ORDER
@@ -193,7 +207,7 @@ class Trie:
             at = best
             for k in range(1, ORDER + 1):
                 at = child.take((at << 8) | a[ORDER - k : ORDER - k + n]).astype(np.int32)
-                best = np.where(at < self.none, at, best)
+                best = np.where(at < none, at, best)
             cost = code.take((best << 8) | a[ORDER:]).astype(np.float64)
             cost[~_own(len(data), starts)] = 0
             np.add.at(total, whose, np.add.reduceat(cost, starts))
@@ -209,10 +223,30 @@ def grow(counts: DataFrame, nodes: int = NODES) -> Trie:
     )
     of = of.groupBy("c.depth", "c.code", "symbol").agg(F.sum("n").alias("n"))
     ranked = of.where("depth > 0").groupBy("depth", "code").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "depth", "code").limit(nodes - 1)
-    chosen = sorted((r.depth, r.code) for r in ranked.collect())
-    index = counts.sparkSession.createDataFrame([(0, 0, 0), *((d, c, i) for i, (d, c) in enumerate(chosen, 1))], "depth int, code long, node int")
-    table = of.join(F.broadcast(index), ["depth", "code"]).select("node", "symbol", "n").toPandas().to_numpy(np.int64)
-    return Trie(chosen, table.reshape(-1, 3))
+    listed = ranked.select("depth", "code").toArrow()
+    depths, codes = listed["depth"].to_numpy(), listed["code"].to_numpy()
+    order = np.lexsort((codes, depths))
+    depths, codes = depths[order].astype(np.int8), codes[order]
+    rows = pa.table({"depth": np.r_[np.int32(0), depths.astype(np.int32)], "code": np.r_[np.int64(0), codes], "node": np.arange(len(codes) + 1, dtype=np.int32)})
+    index = counts.sparkSession.createDataFrame(rows)
+    table = of.join(F.broadcast(index), ["depth", "code"]).select("node", F.col("symbol").cast("short").alias("symbol"), F.col("n").cast("float").alias("n")).toArrow()
+    return Trie(depths, codes, (table["node"].to_numpy(), table["symbol"].to_numpy().astype(np.uint8), table["n"].to_numpy()))
+
+
+class Head:
+    """log10 of the count plus 0.1 of the most frequent words. Only the columns travel."""
+
+    def __init__(self, words: pa.Array, counts: np.ndarray):
+        self.words, self.counts = words, counts
+        self.known: dict[bytes, float] | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"known": None}
+
+    def table(self) -> dict[bytes, float]:
+        if self.known is None:
+            self.known = dict(zip(self.words.to_pylist(), np.log10(self.counts + 0.1).tolist(), strict=True))
+        return self.known
 
 
 def score(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "text", nodes: int = NODES, head: int = HEAD) -> DataFrame:
@@ -225,12 +259,12 @@ def score(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "t
     base = math.log10(tokens + 0.1 * (said[1] + (texts > 0) + 1))
     trie = grow(counts, nodes)
     words = counts.where("word is not null").select("word", "n")
-    top = {bytes(r.word): math.log10(r.n + 0.1) for r in words.orderBy(F.desc("n"), "word").limit(head).collect()}
-    model = spark.sparkContext.broadcast((trie, top))
+    top = words.orderBy(F.desc("n"), "word").limit(head).toArrow()
+    model = spark.sparkContext.broadcast((trie, Head(top["word"].combine_chunks(), top["n"].to_numpy())))
     end = math.log10(texts + 0.1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, known = model.value
+        own, known = model.value[0], model.value[1].table()
         row = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 33
         for batch in batches:
             said = [(t or "") for t in batch.column(1).to_pylist()]
