@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["graphs"]
+MODULES = ["graphs", "texts"]
 
 
 def queries() -> dict:
