@@ -7,11 +7,16 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Words that ask for development or research contexts.
-DEVELOPMENT = ["implement", "function", "class", "method", "code", "bug", "fix", "refactor", "test", "api", "module"]
-RESEARCH = ["concept", "research", "paper", "theory", "document", "explain", "requirement", "decision", "claim"]
-#: Words that an exploring question does not search for.
-STOPWORDS = ["the", "and", "for", "are", "how", "what", "where", "when", "which", "who", "why", "does", "with", "this", "that", "from", "into", "all", "any", "can", "has", "have", "was", "were", "its", "not"]
+#: Words of a question that ask for code or for documents, and words that no question searches for.
+DEVELOPMENT = [
+    "caller", "callers", "call", "calls", "depend", "dependency", "dependencies", "import", "imports", "function", "method", "class",
+    "test", "tests", "implements", "interface", "extend", "extends", "override", "package", "module", "api", "route",
+]
+RESEARCH = ["concept", "claim", "methodology", "dataset", "experiment", "result", "hypothesis", "finding", "citation", "reference", "paper", "study", "evidence"]
+STOPWORDS = [
+    "the", "a", "an", "is", "are", "was", "were", "do", "does", "did", "how", "what", "where", "when", "why", "who", "which", "to", "of",
+    "in", "on", "for", "and", "or", "with", "this", "that", "it", "its", "be", "as", "at", "by", "from",
+]
 
 
 def split_identifier(s: Column) -> Column:
@@ -36,7 +41,7 @@ def intent(s: Column) -> Column:
         return reduce(lambda a, b: a + b, (F.contains(F.lower(s), F.lit(w)).cast("int") for w in words))
 
     dev, res = hits(DEVELOPMENT), hits(RESEARCH)
-    return F.when(dev > res, "DEVELOPMENT").when(res > dev, "RESEARCH").otherwise("GENERAL")
+    return F.when(dev > res, "DEVELOPER").when(res > dev, "RESEARCHER").otherwise("GENERAL")
 
 
 def module_score(tokens: Column, name: Column, path: Column, description: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["graphs", "texts"]
+MODULES = ["graphs", "texts", "resolution", "artifacts", "statistics"]
 
 
 def queries() -> dict:

@@ -47,12 +47,12 @@ def _hits(words: list[str]) -> str:
     return " + ".join(f"cast(contains(lower(q), '{w}') as int)" for w in words)
 
 
-_Q = "p_name || case p_size % 4 when 0 then ' fix the function' when 1 then ' explain the concept' when 2 then ' class paper' else '' end"
+_Q = "p_name || case p_size % 4 when 0 then ' calls of the function' when 1 then ' explain the concept' when 2 then ' class paper study' else '' end"
 
 
-@query(f"with x as (select p_partkey, {_Q} as q from part), y as (select p_partkey, {_hits(t.DEVELOPMENT)} as a, {_hits(t.RESEARCH)} as b from x) select p_partkey, case when a > b then 'DEVELOPMENT' when b > a then 'RESEARCH' else 'GENERAL' end as intent from y")
+@query(f"with x as (select p_partkey, {_Q} as q from part), y as (select p_partkey, {_hits(t.DEVELOPMENT)} as a, {_hits(t.RESEARCH)} as b from x) select p_partkey, case when a > b then 'DEVELOPER' when b > a then 'RESEARCHER' else 'GENERAL' end as intent from y")
 def intent_classify(spark, d):
-    q = F.expr("concat(p_name, case p_size % 4 when 0 then ' fix the function' when 1 then ' explain the concept' when 2 then ' class paper' else '' end)")
+    q = F.expr("concat(p_name, case p_size % 4 when 0 then ' calls of the function' when 1 then ' explain the concept' when 2 then ' class paper study' else '' end)")
     return table(spark, d, "part").select("p_partkey", t.intent(q).alias("intent"))
 
 
