@@ -164,6 +164,13 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long").distinct()
 
 
+def _sparse(links: DataFrame) -> DataFrame:
+    """The same components by fewer links: each b keeps its smallest a, and a's that share a b are linked with the smallest."""
+    low = links.join(links.groupBy("b").agg(F.min("a").alias("m")), "b")
+    pairs = F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("b").alias("b")), F.struct(F.col("m").alias("a"), F.col("a").alias("b"))))
+    return cut(low.select("m", "a", "b").select(pairs.alias("p")).select("p.a", "p.b").where("a <> b").distinct())
+
+
 def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[list]]:
     """Columns of each run of rows with equal first ``keys`` columns."""
     now, held = None, []
@@ -252,6 +259,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
     near = stars.where("near").select(F.col("lead").alias("a"), F.col("id").alias("b"))
     sets = _sets(docs, near.select(F.col("a").alias("id")).union(near.select("b")).distinct(), doc_id, text, width)
     links = cut(_confirm(near, sets, percent))
+    links = _sparse(links)
     comps = components(links)
 
     # members of one leader that are in different components have not met yet
