@@ -5,8 +5,10 @@ from __future__ import annotations
 import fnmatch
 import json
 import os
+from collections.abc import Iterator
 from dataclasses import dataclass, field, fields
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -119,13 +121,26 @@ def discover(spark: SparkSession, root: str, config: Config | None = None) -> Da
 
 
 def read_files(spark: SparkSession, root: str, config: Config | None = None) -> DataFrame:
-    """Artifacts with their content: id, type, path, checksum, size, content."""
-    chosen = discover(spark, root, config)
+    """Artifacts with their content: id, type, path, checksum, size, content.
+
+    Spark's own file sources hide names that begin with ``.`` or ``_`` (``__init__.py``), so the tasks open the files
+    themselves; on a cluster ``root`` lies on a file system that all machines mount. Files that cannot be read are left out.
+    """
     base = os.path.abspath(root)
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
-    named = raw.select(F.expr(f"substring(path, locate({base + '/'!r}, path) + {len(base) + 1})").alias("path"), "content")
-    joined = named.join(chosen, "path")
-    return joined.select(F.col("path").alias("id"), artifact_type(F.col("path")).alias("type"), "path", F.sha2("content", 256).alias("checksum"), "size", F.decode("content", "UTF-8").alias("content"))
+
+    def load(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for path, size in zip(frame["path"], frame["size"], strict=True):
+                try:
+                    with open(f"{base}/{path}", "rb") as file:
+                        yield pd.DataFrame({"path": [path], "size": [size], "raw": [file.read()]})
+                except OSError:
+                    continue
+
+    chosen = discover(spark, root, config)
+    raw = chosen.repartition(spark.sparkContext.defaultParallelism, "path").mapInPandas(load, "path string, size long, raw binary")
+    text = F.expr("try_validate_utf8(cast(raw as string))")
+    return raw.select(F.col("path").alias("id"), artifact_type(F.col("path")).alias("type"), "path", F.sha2("raw", 256).alias("checksum"), "size", F.coalesce(text, F.expr("make_valid_utf8(cast(raw as string))")).alias("content"))
 
 
 def changes(now: DataFrame, stored: DataFrame) -> DataFrame:
