@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions.text import basename_of, declaring_type, directory_of, file_of, scope_of
+from quillgraph.operators.iterate import settle
 
 CALLABLE = ["Method", "Function", "Class"]
 TYPES = ["Class", "Interface", "Enum", "Record"]
@@ -80,7 +81,60 @@ def calls_edges(chosen: DataFrame) -> DataFrame:
 
 
 def resolve(refs: DataFrame, nodes: DataFrame, imports: DataFrame | None = None, cap: int = CAP) -> DataFrame:
-    return calls_edges(choose(with_rung(narrow(candidates(refs, nodes)), imports), cap))
+    """Calls edges, as ``calls_edges(choose(with_rung(narrow(candidates(...)))))``, without listing all candidates of a name.
+
+    Candidates are listed rung by rung, and on the two wide rungs only where a table of counts says that they are within
+    the cap; a name with a million declarations is counted once, not joined to each of its references. ``path`` is the
+    file of ``referrer``.
+    """
+    ident = F.col("id")
+    calls = nodes.where(F.col("type").isin(CALLABLE)).select(
+        F.col("label").alias("name"), ident.alias("candidate"), declaring_type(ident).alias("_by"), file_of(ident).alias("_file"),
+        basename_of(file_of(ident)).alias("_base"), directory_of(file_of(ident)).alias("_dir"), scope_of(ident).alias("_theirs"),
+    )
+    calls = settle(calls)
+
+    def counted(*keys: str) -> tuple[DataFrame, DataFrame]:
+        """Candidates by keys, and by keys and declaring type."""
+        return calls.groupBy(*keys).agg(F.count("*").alias("_all")), calls.where("_by is not null").groupBy(*keys, "_by").agg(F.count("*").alias("_own"))
+
+    by_name, by_type = counted("name")
+    told = refs.withColumn("_mine", scope_of(F.col("referrer"))).withColumn("_dir", directory_of(F.col("path"))).withColumn("_by", F.col("receiver_type"))
+    told = told.join(by_name, "name").join(by_type, ["name", "_by"], "left").withColumn("_some", F.coalesce("_own", "_all")).withColumn("_narrow", F.col("_own").isNotNull()).drop("_all", "_own")
+    told = settle(told)
+    fits = ~F.col("_narrow") | F.coalesce(F.col("theirs_by") == F.col("_by"), F.lit(False))
+    named = calls.withColumnRenamed("_by", "theirs_by").withColumnRenamed("_dir", "_their_dir")
+    keep = ["ref_id", "referrer", "line", "candidate"]
+
+    # rung 0: the same file
+    mine, theirs = F.col("_mine"), F.col("_theirs")
+    inside = (F.size(theirs) > F.size(mine)) & (F.slice(theirs, F.lit(1), F.greatest(F.size(mine), F.lit(1))) == mine)
+    up, their_up = (F.slice(c, F.lit(1), F.greatest(F.size(c) - 1, F.lit(0))) for c in (mine, theirs))
+    local = (F.col("candidate") == F.col("referrer")) | ((F.size(mine) > 0) & (F.size(theirs) > 0) & (inside | ((F.size(up) > 0) & (up == their_up))))
+    found = [settle(told.join(named.withColumnRenamed("_file", "path"), ["name", "path"]).where(fits & local).select(*keep))]
+    left = told.join(found[0].select("ref_id"), "ref_id", "left_anti")
+    # rung 1: files that the referrer's file imports
+    if imports is not None:
+        tokens = imports.select("path", F.col("token").alias("_base")).where("_base <> ''").distinct()
+        found.append(settle(left.join(tokens, "path").join(named, ["name", "_base"]).where(fits).select(*keep)))
+        left = left.join(found[1].select("ref_id"), "ref_id", "left_anti")
+    else:
+        found.append(None)
+    # rung 2: the same directory; rung 3: anywhere
+    dir_all, dir_own = counted("name", "_dir")
+    left = settle(left.join(dir_all, ["name", "_dir"], "left").join(dir_own, ["name", "_dir", "_by"], "left").withColumn("_near", F.coalesce(F.when(F.col("_narrow"), F.col("_own")).otherwise(F.col("_all")), F.lit(0))))
+    near = named.withColumnRenamed("_their_dir", "_dir")
+    found.append(left.where(F.col("_near").between(1, cap)).join(near, ["name", "_dir"]).where(fits).select(*keep))
+    few_names = by_name.where(F.col("_all") <= cap).select("name")
+    wide = left.where((F.col("_near") == 0) & (F.col("_some") <= cap))
+    any_type = wide.where("not _narrow").join(named.join(few_names, "name", "left_semi"), "name").select(*keep)
+    own_type = wide.where("_narrow").join(named.select("name", F.col("theirs_by").alias("_by"), "candidate"), ["name", "_by"]).select(*keep)
+    found.append(any_type.union(own_type))
+    rungs = [f.withColumn("rung", F.lit(k)) for k, f in enumerate(found) if f is not None]
+    every = rungs[0]
+    for f in rungs[1:]:
+        every = every.union(f)
+    return calls_edges(choose(every, cap))
 
 
 def implements_edges(nodes: DataFrame) -> DataFrame:

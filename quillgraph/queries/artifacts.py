@@ -129,11 +129,11 @@ def citation_extract(spark, d):
     return x.citations(_docs(spark, d))
 
 
-@query(r"""with l as (select doc_id as artifact_id, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as idx from documents where lang = 'en'),
+@query(r"""with l as (select doc_id as artifact_id, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as idx from documents),
 t as (select artifact_id, cast(idx as int) as idx, trim(line, ' ') as label from l), w as (select *, regexp_split_to_array(label, '\s+') as w from t)
 select artifact_id, idx, label from w where length(label) between 5 and 100 and len(w) <= 10 and len([y for y in w if regexp_matches(y, '^\p{Lu}')]) > 0.6 * len(w) and not regexp_matches(label, '[.,]$')""")
 def heading_heuristic(spark, d):
-    docs = table(spark, d, "documents").where("lang = 'en'")
+    docs = table(spark, d, "documents")
     return x.page_sections(docs.select(F.col("doc_id").alias("artifact_id"), F.col("text").alias("content")))
 
 

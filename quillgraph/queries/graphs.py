@@ -153,14 +153,14 @@ def impact_direct(spark, d):
     return g.impact(nodes(spark, d), edges(spark, d), "part:5", 20)
 
 
-@query("with recursive GRAPH, r(id, c) as (select 'order:1', 0.0::double union select e.dst, round(r.c + e.confidence, 9) from r join edges e on e.src = r.id where r.c < 9) select id as node_id, round(min(c), 6) as distance from r group by id having min(c) < 2.8")
+@query("with recursive GRAPH, r(id, c) as (select 'order:1', 0.0::double union select e.dst, round(r.c + e.confidence, 9) from r join edges e on e.src = r.id where r.c < 6) select id as node_id, round(min(c), 6) as distance from r group by id")
 def shortest_distance(spark, d):
-    return g.distances(edges(spark, d), "order:1").where("distance < 2.8").select("node_id", F.round("distance", 6).alias("distance"))
+    return g.distances(edges(spark, d), "order:1").select("node_id", F.round("distance", 6).alias("distance"))
 
 
 @query("with recursive GRAPH, r(id, c) as (select 'order:2', 0 union select e.dst, r.c + 1 from r join edges e on e.src = r.id where r.c < 4) select id as node_id, cast(min(c) as double) as distance from r group by id")
 def hop_distance(spark, d):
-    return g.distances(edges(spark, d), "order:2", F.lit(1.0)).where("distance <= 4").select("node_id", "distance")
+    return g.distances(edges(spark, d), "order:2", F.lit(1.0)).select("node_id", "distance")
 
 
 _RANK = """, kind as (select id, label from nodes where type in ('region', 'nation', 'customer', 'supplier')),

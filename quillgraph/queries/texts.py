@@ -38,9 +38,9 @@ def fts_terms(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(t.search_terms(F.col("text"))).cast("long").alias("n")).where("n > 0")
 
 
-@query(f"with x as (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) as w from documents where lang = 'en') select doc_id, count(distinct w) as n from x where length(w) >= 3 and w not in ({', '.join(repr(w) for w in t.STOPWORDS)}) group by doc_id")
+@query(f"with x as (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) as w from documents) select doc_id, count(distinct w) as n from x where length(w) >= 3 and w not in ({', '.join(repr(w) for w in t.STOPWORDS)}) group by doc_id")
 def explore_tokens(spark, d):
-    return table(spark, d, "documents").where("lang = 'en'").select("doc_id", F.size(t.question_tokens(F.col("text"))).cast("long").alias("n")).where("n > 0")
+    return table(spark, d, "documents").select("doc_id", F.size(t.question_tokens(F.col("text"))).cast("long").alias("n")).where("n > 0")
 
 
 def _hits(words: list[str]) -> str:
