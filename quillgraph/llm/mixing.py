@@ -21,15 +21,15 @@ from __future__ import annotations
 import heapq
 from fractions import Fraction
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quillgraph.llm.common import without
 
 GRAIN = 10_000
 BLOCK = 8
-BUCKETS = 256
+#: Rows of a source that one bucket holds on average.
+BUCKET_ROWS = 4_000
 MAX_SOURCES = 5_000
 
 ADDED = ["block_no", "block_row", "release", "deadline", "slot", "position", "in_mix"]
@@ -75,39 +75,35 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, source:
     spark = docs.sparkSession
     rows = without(docs, ADDED)
     src, ident = F.col(f"`{source}`"), F.col(f"`{doc_id}`")
-    dealt = rows.withColumn("_hash", F.xxhash64(ident.cast("string"), F.lit("mix"))).withColumn("_bucket", F.pmod("_hash", F.lit(BUCKETS)))
-    # a source's documents are numbered bucket by bucket, so that no task holds a whole source
-    counts = dealt.groupBy(src.alias("_source"), "_bucket").agg(F.count("*").alias("n")).where("n > 0")
-    listed = counts.limit(MAX_SOURCES * BUCKETS + 1).collect()
-    if len({r["_source"] for r in listed}) > MAX_SOURCES:
+    key = F.coalesce(F.concat(F.lit("s"), src.cast("string")), F.lit("n"))  # never null, so that it joins as it is partitioned
+    listed = rows.groupBy(src.cast("string").alias("source")).agg(F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()
+    if len(listed) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
-    sizes: dict[str | None, int] = {}
-    offsets = []
-    for r in sorted(listed, key=lambda r: (r["_source"] is None, r["_source"] or "", r["_bucket"])):
-        offsets.append((r["_source"], r["_bucket"], sizes.get(r["_source"], 0)))
-        sizes[r["_source"]] = sizes.get(r["_source"], 0) + r.n
+    sizes = {r.source: r.n for r in listed}
     if weights is None:
         weights = {s: n**0.5 for s, n in sizes.items()}
     elif missing := set(sizes) - set(weights):
         raise ValueError(f"sources without a weight: {sorted(map(str, missing))[:5]}")
     parts = shares(weights, grain) if weights else {}
     slots = period(parts, grain) if parts else {}
-    last = {s: -(-n // block) - 1 for s, n in sizes.items()}
+    blocks = {s: -(-n // block) for s, n in sizes.items()}
 
     def slot_of(s: str | None, i: int) -> int:
         return i // parts[s] * grain + slots[s][i % parts[s]]
 
-    dry = min((slot_of(s, last[s] + 1) if s in last else slots[s][0] for s in parts), default=0)
-    text = T.StringType()
-    starts = spark.createDataFrame(offsets, T.StructType([T.StructField("_s", text), T.StructField("_b", T.LongType()), T.StructField("_from", T.LongType())]))
-    table = spark.createDataFrame([(s, parts[s], slots[s]) for s in sizes], T.StructType([T.StructField("_s2", text), T.StructField("_parts", T.LongType()), T.StructField("_slots", T.ArrayType(T.LongType()))]))
-    # numbers from narrow rows in a window per source and bucket
-    numbered = dealt.withColumn("_n", F.expr(f"row_number() over (partition by `{source}`, _bucket order by _hash, `{doc_id}`)") - 1)
-    numbered = numbered.join(F.broadcast(starts), src.eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")))
-    numbered = numbered.join(F.broadcast(table), src.eqNullSafe(F.col("_s2"))).withColumn("_n", (F.col("_n") + F.col("_from")).cast("long"))
-    no = F.floor(F.col("_n") / block).cast("long")
-    put = numbered.withColumn("block_no", no).withColumn("block_row", (F.col("_n") % block).cast("long"))
-    put = put.withColumn("release", F.floor(F.col("block_no") * grain / F.col("_parts")).cast("long")).withColumn("deadline", F.ceil((F.col("block_no") + 1) * grain / F.col("_parts")).cast("long"))
-    put = put.withColumn("slot", (F.floor(F.col("block_no") / F.col("_parts")) * grain + F.expr("_slots[cast(block_no % _parts as int)]")).cast("long"))
+    dry = min((slot_of(s, blocks.get(s, 0)) for s in parts), default=0)
+    plan = [("n" if s is None else "s" + s, -(-n // BUCKET_ROWS), parts[s], slots[s]) for s, n in sizes.items()]
+    table = F.broadcast(spark.createDataFrame(plan, "__mix_k string, __mix_buckets long, __mix_parts long, __mix_slots array<long>"))
+    # a source's documents are numbered bucket by bucket, so that no task holds a whole source
+    dealt = rows.withColumn("__mix_k", key).withColumn("__mix_hash", F.xxhash64(ident.cast("string"), F.lit("mix"))).join(table.select("__mix_k", "__mix_buckets"), "__mix_k")
+    dealt = dealt.withColumn("__mix_bucket", F.pmod("__mix_hash", "__mix_buckets"))
+    before = Window.partitionBy("__mix_k").orderBy("__mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy("__mix_k", "__mix_bucket").agg(F.count("*").alias("n")).select("__mix_k", "__mix_bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__mix_from"))
+    numbered = dealt.withColumn("__mix_n", F.row_number().over(Window.partitionBy("__mix_k", "__mix_bucket").orderBy("__mix_hash", ident)) - 1)
+    numbered = numbered.join(starts, ["__mix_k", "__mix_bucket"]).join(table.select("__mix_k", "__mix_parts", "__mix_slots"), "__mix_k").withColumn("__mix_n", (F.col("__mix_n") + F.col("__mix_from")).cast("long"))
+    no = F.floor(F.col("__mix_n") / block).cast("long")
+    put = numbered.withColumn("block_no", no).withColumn("block_row", (F.col("__mix_n") % block).cast("long"))
+    put = put.withColumn("release", F.floor(F.col("block_no") * grain / F.col("__mix_parts")).cast("long")).withColumn("deadline", F.ceil((F.col("block_no") + 1) * grain / F.col("__mix_parts")).cast("long"))
+    put = put.withColumn("slot", (F.floor(F.col("block_no") / F.col("__mix_parts")) * grain + F.expr("__mix_slots[cast(block_no % __mix_parts as int)]")).cast("long"))
     put = put.withColumn("position", F.col("slot") * block + F.col("block_row")).withColumn("in_mix", F.col("slot") < dry)
-    return put.select(rows.columns + ADDED)
+    return put.select([F.col(f"`{c}`") for c in rows.columns + ADDED])
