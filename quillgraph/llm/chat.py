@@ -55,16 +55,16 @@ def _list(array: str, role: str, text: str) -> str:
 
 _SPEAKER = "case lower($from) when 'human' then 'user' when 'gpt' then 'assistant' when 'bot' then 'assistant' else coalesce($from, '') end"
 
-#: JSON layouts: name, field paths, turns as SQL over the record ``r``.
+#: JSON layouts: name, field paths, turns as SQL over the record ``__r``.
 MAPPINGS: list[tuple[str, list[str], str]] = [
-    ("messages", ["messages[].role", "messages[].content"], _list("r.messages", "coalesce($role, '')", "content")),
-    ("conversations", ["conversations[].from", "conversations[].value"], _list("r.conversations", _SPEAKER, "value")),
-    ("prompt_response", ["prompt", "response"], _turns(("user", "r.prompt"), ("assistant", "r.response"))),
-    ("prompt_completion", ["prompt", "completion"], _turns(("user", "r.prompt"), ("assistant", "r.completion"))),
-    ("system_prompt_response", ["system", "prompt", "response"], _turns(("system", "r.system"), ("user", "r.prompt"), ("assistant", "r.response"))),
-    ("instruction", ["instruction", "output"], _turns(("user", "r.instruction"), ("assistant", "r.output"))),
-    ("instruction_input", ["instruction", "input", "output"], _turns(("user", "concat_ws('\\n\\n', nullif(r.instruction, ''), nullif(r.input, ''))"), ("assistant", "r.output"))),
-    ("question_answer", ["question", "answer"], _turns(("user", "r.question"), ("assistant", "r.answer"))),
+    ("messages", ["messages[].role", "messages[].content"], _list("__r.messages", "coalesce($role, '')", "content")),
+    ("conversations", ["conversations[].from", "conversations[].value"], _list("__r.conversations", _SPEAKER, "value")),
+    ("prompt_response", ["prompt", "response"], _turns(("user", "__r.prompt"), ("assistant", "__r.response"))),
+    ("prompt_completion", ["prompt", "completion"], _turns(("user", "__r.prompt"), ("assistant", "__r.completion"))),
+    ("system_prompt_response", ["system", "prompt", "response"], _turns(("system", "__r.system"), ("user", "__r.prompt"), ("assistant", "__r.response"))),
+    ("instruction", ["instruction", "output"], _turns(("user", "__r.instruction"), ("assistant", "__r.output"))),
+    ("instruction_input", ["instruction", "input", "output"], _turns(("user", "concat_ws('\\n\\n', nullif(__r.instruction, ''), nullif(__r.input, ''))"), ("assistant", "__r.output"))),
+    ("question_answer", ["question", "answer"], _turns(("user", "__r.question"), ("assistant", "__r.answer"))),
 ]
 _RECORD = (
     "messages array<struct<role:string,content:string>>, conversations array<struct<`from`:string,value:string>>, "
@@ -100,16 +100,16 @@ def from_rows(df: DataFrame) -> DataFrame:
 def from_json(df: DataFrame, column: str) -> DataFrame:
     """``df`` with layout, fingerprint and turns of the JSON records in ``column``."""
     paths = sorted({p for _, ps, _ in MAPPINGS for p in ps})
-    has = ", ".join(f"case when variant_get(v, '$.{p.replace('[]', '[0]')}', 'variant') is not null then '{p}' end" for p in paths)
+    has = ", ".join(f"case when variant_get(__v, '$.{p.replace('[]', '[0]')}', 'variant') is not null then '{p}' end" for p in paths)
     cases = " ".join(f"when '{fingerprint(ps)}' then coalesce({turns}, {_EMPTY})" for _, ps, turns in MAPPINGS)
     names = " ".join(f"when '{fingerprint(ps)}' then '{name}'" for name, ps, _ in MAPPINGS)
     return (
-        df.withColumn("v", F.try_parse_json(F.col(f"`{column}`")))
+        df.withColumn("__v", F.try_parse_json(F.col(f"`{column}`")))
         .withColumn("fingerprint", F.expr(f"sha2(array_join(array_sort(filter(array({has}), p -> p is not null)), '\\n'), 256)"))
-        .withColumn("r", F.from_json(F.col(f"`{column}`"), _RECORD))
+        .withColumn("__r", F.from_json(F.col(f"`{column}`"), _RECORD))
         .withColumn("layout", F.expr(f"case fingerprint {names} end"))
         .withColumn("turns", F.expr(f"case fingerprint {cases} else {_EMPTY} end"))
-        .drop("v", "r")
+        .drop("__v", "__r")
     )
 
 
@@ -125,10 +125,10 @@ def format_turns(df: DataFrame, turns: str = "turns", learn: str = "assistant")
     """Adds ``formatted`` and ``loss_spans``, the code points [start, end) of the texts of role ``learn``."""
     head = F.lit(len(OPEN) + len(SAID))
     parts = F.transform(F.col(turns), lambda t: F.struct(escape(t["role"]).alias("role"), escape(t["text"]).alias("text"), (t["role"] == learn).alias("learn")))
-    spoken = df.withColumn("_parts", parts)
-    sized = spoken.withColumn("_sizes", F.transform("_parts", lambda p: F.struct((head + F.length(p["role"])).cast("long").alias("lead"), F.length(p["text"]).cast("long").alias("body"), p["learn"].alias("learn"))))
+    spoken = df.withColumn("__parts", parts)
+    sized = spoken.withColumn("__sizes", F.transform("__parts", lambda p: F.struct((head + F.length(p["role"])).cast("long").alias("lead"), F.length(p["text"]).cast("long").alias("body"), p["learn"].alias("learn"))))
     spans = F.aggregate(
-        F.col("_sizes"),
+        F.col("__sizes"),
         F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans")),
         lambda acc, s: F.struct(
             (acc["at"] + s["lead"] + s["body"] + len(CLOSE)).alias("at"),
@@ -136,8 +136,8 @@ def format_turns(df: DataFrame, turns: str = "turns", learn: str = "assistant")
         ),
         lambda acc: acc["spans"],
     )
-    whole = F.array_join(F.transform("_parts", lambda p: F.concat(F.lit(OPEN), p["role"], F.lit(SAID), p["text"], F.lit(CLOSE))), "")
-    return sized.withColumn("formatted", whole).withColumn("loss_spans", spans).drop("_parts", "_sizes")
+    whole = F.array_join(F.transform("__parts", lambda p: F.concat(F.lit(OPEN), p["role"], F.lit(SAID), p["text"], F.lit(CLOSE))), "")
+    return sized.withColumn("formatted", whole).withColumn("loss_spans", spans).drop("__parts", "__sizes")
 
 
 def read_back(formatted: Column) -> Column:

@@ -285,11 +285,11 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` less all but the smallest id of each class; of rows that share this id one stays. Rows with a null id stay."""
-    kept = cut(classes(docs.where(F.col(doc_id).isNotNull()), doc_id, text, width, percent).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_copies")))
-    kept = kept.withColumnRenamed("doc_id", "_id")
-    on = F.col(f"`{doc_id}`").cast("long") == F.col("_id")
-    single = docs.join(_small(kept.where("_copies = 1").select("_id")), on, "left_semi")
-    several = docs.join(_small(kept.where("_copies > 1").select("_id")), on, "left_semi").dropDuplicates([doc_id])
+    kept = cut(classes(docs.where(F.col(doc_id).isNotNull()), doc_id, text, width, percent).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("__copies")))
+    kept = kept.withColumnRenamed("doc_id", "__kept_id")
+    on = F.col(f"`{doc_id}`").cast("long") == F.col("__kept_id")
+    single = docs.join(_small(kept.where("__copies = 1").select("__kept_id")), on, "left_semi")
+    several = docs.join(_small(kept.where("__copies > 1").select("__kept_id")), on, "left_semi").dropDuplicates([doc_id])
     return single.union(several).union(docs.where(F.col(doc_id).isNull()))
 
 

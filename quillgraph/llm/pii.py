@@ -133,10 +133,10 @@ def propose(docs: DataFrame, text: str = "text") -> DataFrame:
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.withColumn("_candidates", F.when(body.rlike(r"[0-9@]|[(\[]at[)\]]"), _candidates(body)).otherwise(F.array().cast(_SPAN)).cast(_SPAN))
     # what lies in a true candidate is true itself
-    within = "exists(_true, t -> t.start <= c.start and t.end >= c.end)"
+    within = "exists(__true, t -> t.start <= c.start and t.end >= c.end)"
     shape = f"named_struct('kind', c.kind, 'start', c.start, 'end', c.end, 'base', c.base, 'label', c.label or {within}, 'f', c.f)"
-    rows = rows.withColumn("_true", F.expr("filter(_candidates, c -> c.label)"))
-    return rows.withColumn("_candidates", F.expr(f"transform(_candidates, c -> {shape})").cast(_SPAN)).drop("_true")
+    rows = rows.withColumn("__true", F.expr("filter(_candidates, c -> c.label)"))
+    return rows.withColumn("_candidates", F.expr(f"transform(_candidates, c -> {shape})").cast(_SPAN)).drop("__true")
 
 
 class Trees:
@@ -225,22 +225,22 @@ def fit(proposed: DataFrame) -> tuple[Trees | None, list[float]]:
 def select_spans(proposed: DataFrame, model: tuple[Trees | None, list[float]]) -> DataFrame:
     """Replaces ``_candidates`` by ``pii``: array<struct<start, kind, end, base>>, by start, then kind."""
     trees, limits = model
-    rows = proposed.withColumn("_base", F.expr("filter(_candidates, c -> c.base)"))
+    rows = proposed.withColumn("__base", F.expr("filter(_candidates, c -> c.base)"))
     more = "array()"
     if trees is not None:
         bar = " ".join(f"when {k} then {v!r}D" for k, v in enumerate(limits) if v < math.inf)
         if bar:
             more = f"""filter(_candidates, c -> not c.base and ({trees.sql('c.f')}) >= case c.kind {bar} else double('infinity') end
-                and not exists(_base, b -> b.start <= c.start and b.end >= c.end))"""
+                and not exists(__base, b -> b.start <= c.start and b.end >= c.end))"""
     shape = "named_struct('start', c.start, 'kind', c.kind, 'end', c.end, 'base', c.base)"
     kind = "array<struct<start:int,kind:int,end:int,base:boolean>>"
-    rows = rows.withColumn("_more", F.expr(f"cast({more} as {_SPAN})"))
-    return rows.withColumn("pii", F.expr(f"cast(array_sort(array_distinct(transform(concat(_base, _more), c -> {shape}))) as {kind})")).drop("_base", "_more", "_candidates")
+    rows = rows.withColumn("__more", F.expr(f"cast({more} as {_SPAN})"))
+    return rows.withColumn("pii", F.expr(f"cast(array_sort(array_distinct(transform(concat(__base, __more), c -> {shape}))) as {kind})")).drop("__base", "__more", "_candidates")
 
 
 def find(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with ``pii``, the chosen spans. The candidates of all rows are written once and used for fitting and choosing."""
-    proposed = cut(propose(without(docs, ["pii", "_candidates", "_base", "_more"]), text))
+    proposed = cut(propose(without(docs, ["pii", "_candidates"]), text))
     return select_spans(proposed, fit(proposed))
 
 
