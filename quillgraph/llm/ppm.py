@@ -1,7 +1,7 @@
 """Language-model scoring by prediction by partial matching over bytes, beside a unigram base score.
 
 Training counts every byte with its five predecessors in all training texts, and every word. The context trie
-holds the ``nodes`` most frequent contexts of up to five bytes (a context's suffix is at least as frequent, so the
+holds the most frequent contexts of up to five bytes, ``nodes`` at most (a context's suffix is at least as frequent, so the
 trie is closed); its size is the model's parameter, the counts behind it cover all training texts. A byte's
 probability follows the longest context in the trie: counts over counts plus distinct symbols, an escape in
 proportion to the distinct symbols, and on each shorter context only the symbols not yet excluded; at last equal
@@ -9,8 +9,8 @@ shares of what no context has seen. Byte 255, which UTF-8 never uses, stands bef
 These probabilities are fixed after training, so they are laid out once as a table [node, byte], and a text's code
 length is a sum of look-ups.
 
-Base score: add-0.1 unigrams over lower-cased words and one end token. Counts of the ``head`` most frequent words
-are broadcast (a fixed number of them); the other words of each text meet their counts in a shuffle join, in which
+Base score: add-0.1 unigrams over lower-cased words and one end token. Counts of the most frequent words, ``head``
+at most, are broadcast; the other words of each text meet their counts in a shuffle join, in which
 no word is frequent.
 
 Defined results
@@ -214,6 +214,22 @@ class Trie:
         return total
 
 
+def _most(rows: DataFrame, limit: int) -> DataFrame:
+    """The rows of the largest ``n``, ``limit`` at most: as many whole classes of counts (16 to a doubling) as fit.
+
+    Unlike a sort with a limit, no task gathers candidates from all partitions. What is as frequent as a chosen row, or more, is
+    chosen too.
+    """
+    kind = F.floor(F.log2("n") * 16)
+    bound, total = None, 0
+    for r in sorted(rows.groupBy(kind.alias("kind")).count().collect(), reverse=True):
+        total += r["count"]
+        if total > limit:
+            break
+        bound = r["kind"]
+    return rows.where(kind >= bound) if bound is not None else rows.where("false")
+
+
 def grow(counts: DataFrame, nodes: int = NODES) -> Trie:
     """The trie of the most frequent contexts; ``counts`` as ``count`` makes them."""
     of = counts.where("gram is not null").select(
@@ -222,8 +238,8 @@ def grow(counts: DataFrame, nodes: int = NODES) -> Trie:
         F.explode(F.array(*[F.struct(F.lit(k).alias("depth"), F.shiftright("gram", 8).bitwiseAND(F.lit((1 << 8 * k) - 1)).alias("code")) for k in range(ORDER + 1)])).alias("c"),
     )
     of = of.groupBy("c.depth", "c.code", "symbol").agg(F.sum("n").alias("n"))
-    ranked = of.where("depth > 0").groupBy("depth", "code").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "depth", "code").limit(nodes - 1)
-    listed = ranked.select("depth", "code").toArrow()
+    ranked = cut(of.where("depth > 0").groupBy("depth", "code").agg(F.sum("n").alias("n")))
+    listed = _most(ranked, nodes - 1).select("depth", "code").toArrow()
     depths, codes = listed["depth"].to_numpy(), listed["code"].to_numpy()
     order = np.lexsort((codes, depths))
     depths, codes = depths[order].astype(np.int8), codes[order]
@@ -259,7 +275,7 @@ def score(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "t
     base = math.log10(tokens + 0.1 * (said[1] + (texts > 0) + 1))
     trie = grow(counts, nodes)
     words = counts.where("word is not null").select("word", "n")
-    top = words.orderBy(F.desc("n"), "word").limit(head).toArrow()
+    top = _most(words, head).toArrow()
     model = spark.sparkContext.broadcast((trie, Head(top["word"].combine_chunks(), top["n"].to_numpy())))
     end = math.log10(texts + 0.1)
 
