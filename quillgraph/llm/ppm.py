@@ -1,13 +1,15 @@
 """Language-model scoring by prediction by partial matching over bytes, beside a unigram base score.
 
-Training counts every byte with its five predecessors in all training texts, and every word. The context trie
-holds the most frequent contexts of up to five bytes, ``nodes`` at most (a context's suffix is at least as frequent, so the
-trie is closed); its size is the model's parameter, the counts behind it cover all training texts. A byte's
-probability follows the longest context in the trie: counts over counts plus distinct symbols, an escape in
-proportion to the distinct symbols, and on each shorter context only the symbols not yet excluded; at last equal
-shares of what no context has seen. Byte 255, which UTF-8 never uses, stands before the start and ends a text.
-These probabilities are fixed after training, so they are laid out once as a table [node, byte], and a text's code
-length is a sum of look-ups.
+Training counts every byte with its five predecessors in all training texts, and every word. All contexts of up to
+five bytes that training saw make the model, whatever their number. A byte's probability follows its longest known
+context: counts over counts plus distinct symbols, an escape in proportion to the distinct symbols, and on each
+shorter context only the symbols not yet excluded; at last equal shares of what no context has seen. Byte 255, which
+UTF-8 never uses, stands before the start and ends a text.
+A probability depends on the byte and its five predecessors alone, so each distinct six bytes of the scored texts (a
+gram) are weighed once, where all grams that share the context's last two bytes lie together: these have all longer
+contexts' counts. Shorter contexts are a table of fixed size. A text's code length is a sum of its grams' weights:
+the most frequent grams', ``nodes`` at most, are broadcast; the others meet their weights in a shuffle join, in
+which no gram is frequent. ``nodes`` sets what is sent, not the result.
 
 Base score: add-0.1 unigrams over lower-cased words and one end token. Counts of the most frequent words, ``head``
 at most, are broadcast; the other words of each text meet their counts in a shuffle join, in which
@@ -34,11 +36,14 @@ from pyspark.sql import types as T
 from quillgraph.llm.common import ASCII_LOWER, cut, small_batches
 
 ORDER = 5
-NODES = 65_000
+#: Grams whose weights are broadcast.
+NODES = 1 << 20
 HEAD = 131_072
 EDGE = 255
 SEGMENT = 1 << 20
 FLUSH = 400_000
+#: Rows weighed at once, or one group of the last two bytes if it is larger.
+WEIGHED = 300_000
 
 PAD = bytes([EDGE]) * ORDER
 
@@ -87,131 +92,141 @@ def _own(size: int, starts: list[int]) -> np.ndarray:
     return keep
 
 
-def count(train: DataFrame, text: str = "text") -> DataFrame:
-    """gram (null for words), word (null for grams), n: over all of ``train``. Row (null, null) counts texts."""
-    small_batches(train.sparkSession)
+def count(docs: DataFrame, text: str = "text", held_out: str = "held_out") -> DataFrame:
+    """gram (null for words), word (null for grams), n: over rows not held out, m: over all rows (grams). Row (null, null) counts texts.
+
+    Words that only rows held out have are not listed.
+    """
+    small_batches(docs.sparkSession)
+    names = ["gram", "word", "n", "m"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally: Counter[bytes] = Counter()
-        waiting: list[np.ndarray] = []
-        sizes: list[np.ndarray] = []
+        waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         held = rows = 0
 
-        def merge() -> tuple[np.ndarray, np.ndarray]:
+        def merge() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             if not waiting:
-                return np.zeros(0, np.int64), np.zeros(0, np.int64)
-            keys, n = np.concatenate(waiting), np.concatenate(sizes)
+                return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+            keys, n, m = (np.concatenate(c) for c in zip(*waiting, strict=True))
             order = np.argsort(keys, kind="stable")
-            keys, n = keys[order], n[order]
+            keys, n, m = keys[order], n[order], m[order]
             first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-            return keys[first], np.add.reduceat(n, first)
+            return keys[first], np.add.reduceat(n, first), np.add.reduceat(m, first)
 
-        def out(k: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(k), pa.nulls(len(k), pa.binary()), pa.array(n)], names=["gram", "word", "n"])
+        def out(k: np.ndarray, n: np.ndarray, m: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(k), pa.nulls(len(k), pa.binary()), pa.array(n), pa.array(m)], names=names)
 
         def out_words() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays([pa.nulls(len(tally), pa.int64()), pa.array(list(tally), pa.binary()), pa.array(list(tally.values()), pa.int64())], names=["gram", "word", "n"])
+            n = pa.array(list(tally.values()), pa.int64())
+            made = pa.RecordBatch.from_arrays([pa.nulls(len(tally), pa.int64()), pa.array(list(tally), pa.binary()), n, n], names=names)
             tally.clear()
             return made
 
         for batch in batches:
-            texts = [(t or "") for t in batch.column(0).to_pylist()]
-            rows += len(texts)
-            for t in texts:
+            texts, apart = [(t or "") for t in batch.column(0).to_pylist()], batch.column(1).to_pylist()
+            learnt = [t for t, h in zip(texts, apart, strict=True) if not h]
+            rows += len(learnt)
+            for t in learnt:
                 tally.update(word_list(t))
             if len(tally) > FLUSH:
                 yield out_words()
-            for data, _, starts in pieces([t.encode("utf-8", "replace") for t in texts]):
-                k, n = np.unique(grams(data)[_own(len(data), starts)], return_counts=True)
-                waiting.append(k)
-                sizes.append(n.astype(np.int64))
-                held += len(k)
+            for part, times in ((learnt, 1), ([t for t, h in zip(texts, apart, strict=True) if h], 0)):
+                for data, _, starts in pieces([t.encode("utf-8", "replace") for t in part]):
+                    k, m = np.unique(grams(data)[_own(len(data), starts)], return_counts=True)
+                    waiting.append((k, m * times, m))
+                    held += len(k)
             if held > 4 * FLUSH:
-                k, n = merge()
+                k, n, m = merge()
                 if len(k) > 2 * FLUSH:
-                    yield out(k, n)
-                    waiting, sizes, held = [], [], 0
+                    yield out(k, n, m)
+                    waiting, held = [], 0
                 else:
-                    waiting, sizes, held = [k], [n], len(k)
-        k, n = merge()
+                    waiting, held = [(k, n, m)], len(k)
+        k, n, m = merge()
         for i in range(0, len(k), 100_000):
-            yield out(k[i : i + 100_000], n[i : i + 100_000])
+            yield out(k[i : i + 100_000], n[i : i + 100_000], m[i : i + 100_000])
         if tally:
             yield out_words()
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([rows], pa.int64())], names=["gram", "word", "n"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([rows], pa.int64()), pa.array([rows], pa.int64())], names=names)
 
-    found = train.select(F.col(text)).mapInArrow(run, "gram long, word binary, n long")
-    return found.groupBy("gram", "word").agg(F.sum("n").alias("n"))
+    found = docs.select(F.col(text), F.col(held_out)).mapInArrow(run, "gram long, word binary, n long, m long")
+    return found.groupBy("gram", "word").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
 
 
-class Trie:
-    """Contexts as rows: ``child[node, byte]`` prepends a byte, ``code[node, byte]`` is log10 of the next byte's probability.
+def weights(code: np.ndarray, n: np.ndarray, short: np.ndarray) -> np.ndarray:
+    """log10 of the probability of each gram's last byte after the others.
 
-    Only the counts travel; each process lays out its tables when it first scores.
+    ``code``, ``n``: distinct grams and their counts, with every gram that shares the last two bytes of a context. ``short``: the
+    counts [byte before, byte] of all grams.
     """
+    p, mass = np.zeros(len(code)), np.ones(len(code))
+    known = np.zeros(len(code), bool)
+    # of the next longer context's symbols: how many, and their counts in this context
+    kinds_out, total_out = np.zeros(len(code)), np.zeros(len(code))
+    pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # per order: distinct (context, symbol), counts, which of them a gram has
+    for k in range(ORDER + 1):
+        if k < 2:
+            at = code & ((1 << 8 * (k + 1)) - 1)
+            table = (short.sum(0) if k == 0 else short.reshape(-1)).astype(np.int64)
+            pairs.append((np.arange(len(table)), table, at))
+        else:
+            keys, at = np.unique(code & ((1 << 8 * (k + 1)) - 1), return_inverse=True)
+            pairs.append((keys, np.bincount(at, n, len(keys)).astype(np.int64), at))
+    for k in range(ORDER, -1, -1):
+        keys, times, at = pairs[k]
+        _, context = np.unique(keys >> 8, return_inverse=True)
+        count_of, kinds_of = np.bincount(context, times), np.bincount(context, times > 0)
+        mine, own = times[at], context[at]
+        total, kinds = count_of[own] - total_out, kinds_of[own] - kinds_out
+        below = np.maximum(total + kinds, 1)
+        hit = ~known & (mine > 0)
+        p[hit] = (mass * mine / below)[hit]
+        known |= hit
+        mass = np.where(kinds > 0, mass * kinds / below, mass)
+        kinds_out = kinds_of[own]
+        if k:
+            upper, up, _ = pairs[k - 1]
+            in_upper = up[np.searchsorted(upper, keys & ((1 << 8 * k) - 1))]
+            total_out = np.bincount(context, np.where(times > 0, in_upper, 0))[own]
+    p = np.where(known, p, mass / np.maximum(256 - kinds_out, 1))
+    return np.log10(p)
+
+
+def weigh(counts: DataFrame) -> DataFrame:
+    """gram, m, code of every gram of ``counts``."""
+    of = counts.where("gram is not null").select("gram", "n", "m")
+    short = np.zeros((256, 256), np.int64)
+    for r in of.groupBy(F.shiftright("gram", 8).bitwiseAND(F.lit(255)).alias("a"), F.col("gram").bitwiseAND(F.lit(255)).alias("b")).agg(F.sum("n").alias("n")).collect():
+        short[r.a, r.b] = r.n
+    least = WEIGHED
 
-    def __init__(self, depths: np.ndarray, codes: np.ndarray, symbols: tuple[np.ndarray, np.ndarray, np.ndarray]):
-        """depths, codes: the contexts, suffixes before what extends them, as nodes 1, 2, ... symbols: node, byte, count."""
-        self.depths, self.codes, self.symbols = depths, codes, symbols
-        self.tables: tuple[np.ndarray, np.ndarray] | None = None
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"tables": None}
-
-    def lay_out(self) -> tuple[np.ndarray, np.ndarray]:
-        n = len(self.depths) + 1
-        index = {(0, 0): 0} | {c: i for i, c in enumerate(zip(self.depths.tolist(), self.codes.tolist(), strict=True), 1)}
-        child = np.full((n + 1, 256), n, np.uint16 if n < 65_535 else np.uint32)
-        parent = np.zeros(n, np.int64)
-        for (depth, code), i in index.items():
-            if depth:
-                up = index[(depth - 1, code & ((1 << 8 * (depth - 1)) - 1))]
-                parent[i] = up
-                child[up, code >> 8 * (depth - 1)] = i
-        counts = np.zeros((n, 256), np.float32)
-        counts[self.symbols[0], self.symbols[1]] = self.symbols[2]
-        logs = np.empty((n, 256), np.float32)
-        for a in range(0, n, 2048):
-            at = np.arange(a, min(n, a + 2048))
-            out = logs[a : a + 2048]
-            seen = np.zeros(out.shape, bool)
-            mass = np.ones(len(at))
-            live = np.ones(len(at), bool)
-            for _ in range(ORDER + 1):
-                c = counts[at] * ~seen * live[:, None]
-                some = c > 0
-                total, kinds = c.sum(1, dtype=np.float64), some.sum(1)
-                below = np.maximum(total + kinds, 1)
-                np.copyto(out, mass[:, None] * c / below[:, None], where=some, casting="same_kind")
-                mass *= np.where(kinds > 0, kinds / below, 1.0)
-                seen |= some
-                live &= at != 0
-                at = parent[at]
-            rest = np.maximum(256 - seen.sum(1), 1)
-            np.copyto(out, (mass / rest)[:, None], where=~seen, casting="same_kind")
-            np.log10(out, out=out)
-        return child, logs
-
-    def score(self, texts: list[bytes]) -> np.ndarray:
-        """log10 probability of each text with its end."""
-        total = np.zeros(len(texts))
-        if self.tables is None:
-            self.tables = self.lay_out()
-        none = len(self.depths) + 1
-        child, code = (t.reshape(-1) for t in self.tables)
-        for data, whose, starts in pieces(texts):
-            a = np.frombuffer(data, np.uint8).astype(np.int32)
-            n = len(a) - ORDER
-            best = np.zeros(n, np.int32)
-            at = best
-            for k in range(1, ORDER + 1):
-                at = child.take((at << 8) | a[ORDER - k : ORDER - k + n]).astype(np.int32)
-                best = np.where(at < none, at, best)
-            cost = code.take((best << 8) | a[ORDER:]).astype(np.float64)
-            cost[~_own(len(data), starts)] = 0
-            np.add.at(total, whose, np.add.reduceat(cost, starts))
-        return total
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out() -> Iterator[pa.RecordBatch]:
+            code, n, m = (np.concatenate(c) for c in zip(*waiting, strict=True))
+            made = weights(code, n, short)
+            for i in range(0, len(code), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 100_000]) for c in (code, m, made)], names=["gram", "m", "code"])
+
+        waiting: list[tuple[np.ndarray, ...]] = []
+        held = 0
+        for batch in batches:
+            part = tuple(c.to_numpy() for c in batch.columns)
+            if held > least:
+                last = int(waiting[-1][0][-1]) >> 8 & 65_535
+                same = int(np.searchsorted((part[0] >> 8 & 65_535) != last, True))
+                if same < len(part[0]):
+                    waiting.append(tuple(c[:same] for c in part))
+                    yield from out()
+                    waiting, held, part = [], 0, tuple(c[same:] for c in part)
+            waiting.append(part)
+            held += len(part[0])
+        if held:
+            yield from out()
+
+    tail = F.shiftright("gram", 8).bitwiseAND(F.lit(65_535))
+    return of.repartition(tail).sortWithinPartitions(tail).mapInArrow(run, "gram long, m long, code double")
 
 
 def _most(rows: DataFrame, limit: int) -> DataFrame:
@@ -230,23 +245,35 @@ def _most(rows: DataFrame, limit: int) -> DataFrame:
     return rows.where(kind >= bound) if bound is not None else rows.where("false")
 
 
-def grow(counts: DataFrame, nodes: int = NODES) -> Trie:
-    """The trie of the most frequent contexts; ``counts`` as ``count`` makes them."""
-    of = counts.where("gram is not null").select(
-        "n",
-        (F.col("gram") % 256).cast("int").alias("symbol"),
-        F.explode(F.array(*[F.struct(F.lit(k).alias("depth"), F.shiftright("gram", 8).bitwiseAND(F.lit((1 << 8 * k) - 1)).alias("code")) for k in range(ORDER + 1)])).alias("c"),
-    )
-    of = of.groupBy("c.depth", "c.code", "symbol").agg(F.sum("n").alias("n"))
-    ranked = cut(of.where("depth > 0").groupBy("depth", "code").agg(F.sum("n").alias("n")))
-    listed = _most(ranked, nodes - 1).select("depth", "code").toArrow()
-    depths, codes = listed["depth"].to_numpy(), listed["code"].to_numpy()
-    order = np.lexsort((codes, depths))
-    depths, codes = depths[order].astype(np.int8), codes[order]
-    rows = pa.table({"depth": np.r_[np.int32(0), depths.astype(np.int32)], "code": np.r_[np.int64(0), codes], "node": np.arange(len(codes) + 1, dtype=np.int32)})
-    index = counts.sparkSession.createDataFrame(rows)
-    table = of.join(F.broadcast(index), ["depth", "code"]).select("node", F.col("symbol").cast("short").alias("symbol"), F.col("n").cast("float").alias("n")).toArrow()
-    return Trie(depths, codes, (table["node"].to_numpy(), table["symbol"].to_numpy().astype(np.uint8), table["n"].to_numpy()))
+class Grams:
+    """Weights of the most frequent grams, sorted."""
+
+    def __init__(self, code: np.ndarray, weight: np.ndarray):
+        order = np.argsort(code)
+        self.code, self.weight = code[order], weight[order]
+
+    def score(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each text's sum over the grams listed here; the other grams, and their numbers by text."""
+        total, others, sizes = np.zeros(len(texts)), [], np.zeros(len(texts), np.int64)
+        for data, whose, starts in pieces(texts):
+            code, own = grams(data), _own(len(data), starts)
+            order = np.argsort(code)  # sorted distinct grams are looked up far faster
+            listed = code[order]
+            first = np.flatnonzero(np.r_[True, listed[1:] != listed[:-1]])
+            each, times = listed[first], np.diff(np.r_[first, len(listed)])
+            found, weight = np.zeros(len(each), bool), np.zeros(len(each))
+            if len(self.code):
+                at = np.minimum(np.searchsorted(self.code, each), len(self.code) - 1)
+                found = self.code[at] == each
+                weight = np.where(found, self.weight[at], 0.0)
+            hit, cost = np.empty(len(code), bool), np.empty(len(code))
+            hit[order], cost[order] = np.repeat(found, times), np.repeat(weight, times)
+            cost[~own] = 0
+            np.add.at(total, whose, np.add.reduceat(cost, starts))
+            rest = own & ~hit
+            others.append(code[rest])
+            np.add.at(sizes, whose, np.add.reduceat(rest.astype(np.int64), starts))
+        return total, np.concatenate(others) if others else np.zeros(0, np.int64), sizes
 
 
 class Head:
@@ -269,14 +296,15 @@ def score(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "t
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row; rows where ``train`` holds are learnt from."""
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), (~train).alias("held_out"))
-    counts = cut(count(rows.where("not held_out")))
+    counts = cut(count(rows))
     said = counts.agg(F.sum(F.when(F.col("gram").isNull(), F.col("n"))), F.count("word"), F.sum(F.when(F.col("gram").isNull() & F.col("word").isNull(), F.col("n")))).first()
     tokens, texts = said[0] or 0, said[2] or 0
     base = math.log10(tokens + 0.1 * (said[1] + (texts > 0) + 1))
-    trie = grow(counts, nodes)
+    weighed = cut(weigh(counts))
+    common = _most(weighed.withColumnRenamed("m", "n"), nodes).select("gram", "code").toArrow()
     words = counts.where("word is not null").select("word", "n")
     top = _most(words, head).toArrow()
-    model = spark.sparkContext.broadcast((trie, Head(top["word"].combine_chunks(), top["n"].to_numpy())))
+    model = spark.sparkContext.broadcast((Grams(common["gram"].to_numpy(), common["code"].to_numpy()), Head(top["word"].combine_chunks(), top["n"].to_numpy())))
     end = math.log10(texts + 0.1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,7 +312,7 @@ def score(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "t
         row = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 33
         for batch in batches:
             said = [(t or "") for t in batch.column(1).to_pylist()]
-            codes = own.score([t.encode("utf-8", "replace") for t in said])
+            codes, others, others_of = own.score([t.encode("utf-8", "replace") for t in said])
             sizes, sums, hits, offsets, rare, times = [], [], [], [0], [], []
             for t in said:
                 listed = word_list(t)
@@ -302,14 +330,15 @@ def score(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "t
                 hits.append(hit)
                 offsets.append(len(rare))
             rest = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(rare, pa.binary()), pa.array(times, pa.int32())], names=["word", "times"]))
+            unlisted = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(others_of)], pa.int32()), pa.array(others, pa.int64()))
             ids = pa.array(range(row, row + len(said)), pa.int64())
             row += len(said)
             yield pa.RecordBatch.from_arrays(
-                [ids, batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(sums, pa.float64()), pa.array(hits, pa.int64()), pa.array(codes, pa.float64()), rest],
-                names=["row", "doc_id", "held_out", "n_tokens", "head_sum", "head_known", "score", "rest"],
+                [ids, batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(sums, pa.float64()), pa.array(hits, pa.int64()), pa.array(codes, pa.float64()), rest, unlisted],
+                names=["row", "doc_id", "held_out", "n_tokens", "head_sum", "head_known", "head_score", "rest", "grams"],
             )
 
-    made = spark.range(0).selectExpr("id row", "true held_out", "id n_tokens", "0D head_sum", "id head_known", "0D score", "array(named_struct('word', X'00', 'times', 0)) rest").schema
+    made = spark.range(0).selectExpr("id row", "true held_out", "id n_tokens", "0D head_sum", "id head_known", "0D head_score", "array(named_struct('word', X'00', 'times', 0)) rest", "array(id) grams").schema
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in (made[0], rows.schema["doc_id"], *made.fields[1:])])
     scored = cut(rows.mapInArrow(run, schema))
     rare = scored.select("row", F.explode("rest").alias("r")).select("row", "r.word", "r.times")
@@ -317,12 +346,14 @@ def score(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "t
         F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.1)).alias("rest_sum"),
         F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("rest_known"),
     )
-    return scored.drop("rest").join(met, "row", "left").select(
+    other = scored.select("row", F.explode("grams").alias("gram"))
+    told = other.join(weighed.select("gram", "code"), "gram").groupBy("row").agg(F.sum("code").alias("rest_score"))
+    return scored.drop("rest", "grams").join(met, "row", "left").join(told, "row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("head_known") + F.coalesce("rest_known", F.lit(0))).alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"),
         (F.col("head_sum") + F.coalesce("rest_sum", F.lit(0.0)) - F.col("n_tokens") * F.lit(base)).alias("base_score"),
-        "score",
+        (F.col("head_score") + F.coalesce("rest_score", F.lit(0.0))).alias("score"),
     )

@@ -63,6 +63,15 @@ def test_base_and_model_as_brute_force(spark, head):
         assert r.score == pytest.approx(log10_probability(t or "", counts), rel=1e-4)
 
 
+@pytest.mark.parametrize("nodes", [1, 40])
+def test_every_context_counts_whatever_is_broadcast(spark, monkeypatch, nodes):
+    monkeypatch.setattr(ppm, "WEIGHED", 5)
+    got = run(spark, TEXTS, nodes=nodes)
+    counts = model([t or "" for i, t in enumerate(TEXTS) if i % 4])
+    for i, t in enumerate(TEXTS):
+        assert got[i].score == pytest.approx(log10_probability(t or "", counts), rel=1e-9)
+
+
 def test_long_texts_in_segments(spark, monkeypatch):
     whole = run(spark, TEXTS)
     trie_texts = [t.encode() for t in ("the cat sat", "a" * 5000, "")]
