@@ -2,8 +2,8 @@
 
 Host names are split at everything but letters and digits, and each part is cut into words by unigram Viterbi:
 the cut whose words have the greatest product of probabilities, where an unknown stretch costs more with every
-character. Words of the model are the ``words`` most frequent letter runs of all the urls' paths and page texts or
-any other text column. Host words and path tokens then go through multinomial naive Bayes with add-one counts,
+character. Words of the model are the ``words`` most frequent letter runs of the urls' paths and of page texts or
+any other text column, less names with dots and urls: a host's own label would be a word that no cut can beat. Host words and path tokens then go through multinomial naive Bayes with add-one counts,
 learnt from the urls that a rule judges: the rules are the labels.
 
 Defined results
@@ -116,6 +116,16 @@ def tokens(host: str, path: str, cut: Segmenter) -> list[str]:
     return out
 
 
+def page_text(html: Column) -> Column:
+    """What a page says: no scripts, styles, comments, tags or entities."""
+    return F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&[a-z0-9#]+;", " ")
+
+
+def _no_hosts(text: Column) -> Column:
+    """Without urls and names with dots."""
+    return F.regexp_replace(text, r"[A-Za-z][A-Za-z0-9+.-]*://\S*|[\p{L}\p{N}_-]++(?:\.[\p{L}\p{N}_-]++)+", " ")
+
+
 def _word_counts(texts: DataFrame, column: str, words: int) -> dict[str, int]:
     """Counts over all texts of the most frequent words of at least two letters."""
     said = texts.select(F.explode(F.regexp_extract_all(F.lower(F.col(column)), F.lit(r"\p{L}{2,}"), 0)).alias("w"))
@@ -124,7 +134,7 @@ def _word_counts(texts: DataFrame, column: str, words: int) -> dict[str, int]:
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]], page_id: str = "page_id", url: str = "url", texts: DataFrame | None = None, column: str = "text", words: int = WORDS, known: int = TOKENS) -> DataFrame:
-    """page_id, host, path, rule, verdict of every row. ``texts``: where the words come from; the urls' own hosts and paths if None.
+    """page_id, host, path, rule, verdict of every row. ``texts``: where words come from beside the urls' paths.
 
     Broadcast are the ``words`` most frequent words and the ``known`` most frequent tokens, a fixed number of either;
     the counts are over all rows.
@@ -133,9 +143,10 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], page_id: str = "p
     small_batches(spark, 4096)
     parts = pages.select(F.col(page_id).alias("page_id"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     parts = parts.withColumn("hit", rule_of(F.col("host"), F.col("path"), rules))
-    if texts is None:
-        texts, column = parts.select(F.concat_ws(" ", "host", "path").alias("said")), "said"
-    cutter = spark.sparkContext.broadcast(Segmenter(_word_counts(texts, column, words)))
+    said = parts.select(F.col("path").alias("said"))
+    if texts is not None:
+        said = said.union(texts.select(_no_hosts(F.col(column))))
+    cutter = spark.sparkContext.broadcast(Segmenter(_word_counts(said, "said", words)))
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = cutter.value

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from quillgraph.llm.queries.op9 import RULES
+from quillgraph.llm.queries.op9 import RULES, op9_url_filter
 from quillgraph.llm.urls import Bayes, Segmenter, host_of, judge, path_of
 
 
@@ -48,6 +48,16 @@ def test_the_model_learns_from_the_rules(spark):
     assert Bayes({}, (0, 0), (0, 0), 0).verdict(["x"]) == "allow"
 
 
+def test_concatenated_hosts_of_the_table_are_split(spark, tmp_path):
+    html = "<html><style>p{}</style><p>Evil casino and good garden, casino for evil and garden for good.<br>&copy; {} &middot; see http://{}/x</p>"
+    hosts = [("evilcasino", "net", "es"), ("goodgarden", "com", "es")]
+    rows = [(i, f"http://{h}.{t}/{p}/1", html.replace("{}", f"{h}.{t}")) for i, (h, t, p) in enumerate(hosts * 30)]
+    rows += [(1000, "http://casinoevil.org/es/1", html.replace("{}", "casinoevil.org")), (1001, "http://gardengood.org/es/1", html.replace("{}", "gardengood.org"))]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r.verdict for r in op9_url_filter(spark, str(tmp_path)).where("page_id >= 1000").collect()}
+    assert got == {1000: "block", 1001: "allow"}
+
+
 def test_host_and_path_are_native(spark):
     df = spark.range(1).select(host_of(F.lit("http://A.b/c")).alias("h"), path_of(F.lit("http://A.b/c")).alias("p"))
     assert tuple(df.first()) == ("a.b", "/c")
