@@ -2,10 +2,13 @@
 
 1. Generators of high recall propose spans, which may overlap: the base patterns, national phone numbers, written-out
    e-mail addresses, named secrets, access keys and long mixed tokens.
-2. Format and context of each candidate become a few small bins. All candidates of all texts are counted by bins and
-   weak label (a base pattern with its check, or a secret that is named or has a fixed form). The table of counts has
-   at most ``BINS_LIMIT`` rows, whatever the input; boosted trees are fitted on one half of it, and on the other half each kind's threshold,
-   the lowest score at which ``PRECISION`` of the weak labels above it are true.
+2. Format and context of each candidate become a few small bins. All labelled candidates of all texts are counted by bins and
+   weak label: true or false for a base pattern by its check and for a secret that is named or has a fixed form; true
+   for a written-out address; for a national number or long mixed token false where its own format fails, true where its
+   context speaks for it too. Other candidates of these two are no examples, and the score alone decides. Which generator
+   proposed a candidate is not a feature. The table of counts has at most ``BINS_LIMIT`` rows, whatever the input;
+   boosted trees are fitted on one half of it, and on the other half each kind's threshold, between the lowest score at
+   which ``PRECISION`` of the weak labels above it are true and the next (a kind without true labels there: that of all kinds).
 3. The trees, as one SQL expression, score the candidates. Base spans always stay; others join where their score
    reaches their kind's threshold and no base span covers them.
 
@@ -14,7 +17,7 @@ groups, and a lookbehind or the end of the last match before a run.
 
 Defined results
   null text: as empty, no spans (redaction leaves it null). Very long texts: whole; the time grows with the square of a text's own candidates.
-  no candidates at all, or one label only: base spans alone. Repeated ids and rows: one row each.
+  no true label at all: base spans alone. Repeated ids and rows: one row each.
   columns named like an added one are replaced; others stay.
 """
 
@@ -48,14 +51,16 @@ GENERATORS: list[tuple[str, bool, str]] = [
     ("secret", False, r"(?<![A-Za-z0-9])(?:AKIA|ASIA|ghp_|sk-)[A-Za-z0-9]{16,64}+(?![A-Za-z0-9])"),
     ("secret", False, r"(?<![A-Za-z0-9])(?=[A-Za-z]{0,64}[0-9])(?=[0-9]{0,64}[A-Za-z])[A-Za-z0-9]{20,256}+(?![A-Za-z0-9])"),
 ]
+#: Generators without a base pattern's check or a secret's name.
+NATIONAL, WRITTEN, MIXED = 4, 5, 8
 #: Words whose presence before a candidate speaks for it.
 HINTS = "mail|phone|tel|call|fax|mobile|host|server|card|visa|pass|pwd|token|secret|key|login|account"
 
 #: Bins of each feature; their product bounds the table of counts.
-FEATURES = {"source": len(GENERATORS), "check": 2, "length": 6, "digits": 4, "hint": 2, "mixed": 4, "glued": 2}
-BINS_LIMIT = 4 * math.prod(FEATURES.values())
+FEATURES = {"check": 2, "length": 6, "digits": 4, "hint": 2, "mixed": 4, "glued": 2}
+BINS_LIMIT = 4 * len(KINDS) * math.prod(FEATURES.values())
 
-_SPAN = "array<struct<kind:int,start:int,end:int,base:boolean,label:boolean,f:struct<source:int,check:int,length:int,digits:int,hint:int,mixed:int,glued:int>>>"
+_SPAN = "array<struct<kind:int,start:int,end:int,base:boolean,label:boolean,f:struct<check:int,length:int,digits:int,hint:int,mixed:int,glued:int>>>"
 
 
 def _matches(text: Column, pattern: str) -> Column:
@@ -88,8 +93,13 @@ def _digits(said: Column) -> Column:
     return F.regexp_replace(said, "[^0-9]", "")
 
 
-def _check(kind: str, base: bool, said: Column) -> Column:
+def _check(source: int, said: Column) -> Column:
     """The rule beyond the pattern."""
+    kind, base, _ = GENERATORS[source]
+    if source == NATIONAL:
+        return F.regexp_replace(said, "[^0-9]", "").rlike("^[2-9][0-9]{2}[2-9]")
+    if source == MIXED:
+        return (F.length(_digits(said)) >= 2) & (F.length(F.regexp_replace(said, "[0-9]+|[A-Za-z]+", "x")) >= 5)
     if kind == "ip":
         return F.forall(F.split(said, r"\."), lambda p: F.length(F.regexp_replace(p, "^0+(?=[0-9])", "")).between(1, 3) & (F.coalesce(F.regexp_replace(p, "^0+(?=[0-9])", "").try_cast("int"), F.lit(999)) <= 255))
     if kind == "card":
@@ -106,20 +116,21 @@ def _candidates(text: Column) -> Column:
 
 
 def _describe(text: Column, source: int, kind: str, base: bool) -> Callable[[Column], Column]:
-    """A match of a generator as a candidate: is it a base span, its weak label, and its bins."""
+    """A match of a generator as a candidate: is it a base span, its weak label (null: none), and its bins."""
 
     def told(m: Column) -> Column:
         said, n = m["said"], F.length(m["said"])
         before = F.lower(F.substr(text, F.greatest(m["start"] - CONTEXT + 1, F.lit(1)), F.least(m["start"], F.lit(CONTEXT))))
         after, last = F.substr(text, m["end"] + 1, F.lit(1)), F.substr(text, F.greatest(m["start"], F.lit(1)), F.least(m["start"], F.lit(1)))
-        ok = _check(kind, base, said)
-        known = ok if base else ok & F.lit(source in (6, 7))
+        ok, hint = _check(source, said), before.rlike(HINTS)
+        known = ok
+        if source in (NATIONAL, MIXED):
+            known = F.when(~ok, False).when(hint | said.startswith("("), True)
         f = F.struct(
-            F.lit(source).alias("source"),
             ok.cast("int").alias("check"),
             F.when(n < 8, 0).when(n < 12, 1).when(n < 16, 2).when(n < 24, 3).when(n < 48, 4).otherwise(5).alias("length"),
             F.floor(F.length(_digits(said)) * 3 / n).cast("int").alias("digits"),
-            before.rlike(HINTS).cast("int").alias("hint"),
+            hint.cast("int").alias("hint"),
             (said.rlike("[a-z]").cast("int") + 2 * said.rlike("[A-Z]").cast("int")).alias("mixed"),
             (after.rlike("[A-Za-z0-9]") | last.rlike("[A-Za-z0-9]")).cast("int").alias("glued"),
         )
@@ -196,11 +207,11 @@ class Trees:
 
 def fit(proposed: DataFrame) -> tuple[Trees | None, list[float]]:
     """The trees, and each kind's threshold (infinite where no score is precise enough)."""
-    one = proposed.select(F.explode("_candidates").alias("c")).select("c.*")
+    one = proposed.select(F.explode("_candidates").alias("c")).select("c.*").where("label is not null")
     fold = (F.xxhash64("start", "end", "f") % 2 == 0).alias("fold")
     table = one.select("kind", "label", "f.*", fold).groupBy("fold", "kind", "label", *FEATURES).count().collect()
     none = [math.inf] * len(KINDS)
-    if len({r.label for r in table}) < 2:
+    if not any(r.label for r in table):
         return None, none
     folds = {r.fold for r in table}
     counts: dict[tuple, list[int]] = defaultdict(lambda: [0, 0])
@@ -211,13 +222,16 @@ def fit(proposed: DataFrame) -> tuple[Trees | None, list[float]]:
             n[1] += r["count"]
     trees = Trees([(k, *v) for k, v in sorted(counts.items())])
     limits = []
+    half = [(trees.score(tuple(r[f] for f in FEATURES)), r.label, r["count"], r.kind) for r in table if not r.fold or len(folds) == 1]
     for kind in range(len(KINDS)):
-        seen = sorted(((trees.score(tuple(r[f] for f in FEATURES)), r.label, r["count"]) for r in table if r.kind == kind and (not r.fold or len(folds) == 1)), reverse=True)
+        seen = [r for r in half if r[3] == kind]
+        seen = sorted(seen if any(r[1] for r in seen) else half, reverse=True)
         limit, true, every = math.inf, 0, 0
-        for k, (s, label, n) in enumerate(seen):
+        for k, (s, label, n, _) in enumerate(seen):
             true, every = true + n * label, every + n
-            if (k + 1 == len(seen) or seen[k + 1][0] < s) and true >= PRECISION * every:
-                limit = s - 1e-6  # sums in another order may differ in the last digits
+            lower = seen[k + 1][0] if k + 1 < len(seen) else -math.inf
+            if lower < s and true >= PRECISION * every:
+                limit = (s + lower) / 2  # nothing labelled speaks against what lies between
         limits.append(max(limit, 0.0))  # a span that is likelier not to be personal is never added
     return trees, limits
 

@@ -59,6 +59,18 @@ def test_secrets_join_and_plain_text_stays(found):
     assert got[8].s == "" and got[6].s == "" and got[7].s == ""
 
 
+def test_numbers_and_addresses_that_stand_alone(spark):
+    alone = ["ring (945) 555-5338 now", "ask someone [at] example.com now", "or 945-555-5338 after", "it is tok 0641917ea4e9feb9cda83477b57ac2654884f485 here"]
+    other = ["a@b.cd", "256.1.1.1 and 4111 1111 1111 1112", "+12 of +49 30 123456789", "password=e3b3ed3cc8548923d6", "id 123-456-7890", "abcdefghijklmnopqrst2024"]
+    df = spark.createDataFrame([(i, f"{'x ' * (i % 7)}{t}") for i, t in enumerate((alone * 5 + other) * 20)], "doc_id long, text string")
+    got = {r.doc_id: {r.text[s.start : s.end] for s in r.pii} for r in find(df).collect()}
+    wanted = ["(945) 555-5338", "someone [at] example.com", "945-555-5338", "0641917ea4e9feb9cda83477b57ac2654884f485"]
+    for i, t in enumerate((alone * 5 + other) * 20):
+        assert not any(x in t for x in other[4:]) or not got[i]
+        if t in alone:
+            assert wanted[alone.index(t)] in got[i], t
+
+
 def test_redaction(found):
     got = {r.doc_id: r.text for r in redact(found).where("doc_id < 11").collect()}
     assert got[0].startswith("write to <email> or x@<email>")
