@@ -58,6 +58,17 @@ def test_concatenated_hosts_of_the_table_are_split(spark, tmp_path):
     assert got == {1000: "block", 1001: "allow"}
 
 
+def test_the_result_does_not_depend_on_what_is_broadcast(spark):
+    hosts = ["evilcasino.net", "goodgarden.com", "casinogarden.org", "evilgarden.org", "goodcasino.org", "rareevil.org", "m.gardengood.org"]
+    rows = [(i, f"http://{hosts[i % 7]}/{'es' if i % 3 else 'x'}/{'abcdefghij'[i % 10]}{'klm'[i % 3]}") for i in range(140)]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    texts = spark.createDataFrame([("evil casino good garden evil casino",), ("good garden rare",)], "text string")
+    whole = sorted(judge(df, RULES, texts=texts).collect())
+    assert {r.verdict for r in whole if r.rule is None} == {"allow", "block"}
+    for few in ({"words": 1}, {"known": 2}, {"names": 2}, {"words": 0, "known": 0, "names": 0}):
+        assert sorted(judge(df, RULES, texts=texts, **few).collect()) == whole, few
+
+
 def test_host_and_path_are_native(spark):
     df = spark.range(1).select(host_of(F.lit("http://A.b/c")).alias("h"), path_of(F.lit("http://A.b/c")).alias("p"))
     assert tuple(df.first()) == ("a.b", "/c")
