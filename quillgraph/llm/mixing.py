@@ -5,6 +5,8 @@ weights, in ``grain``-ths) releases its i-th block at slot floor(i / w) and must
 ceil((i + 1) / w). Of the released blocks the one with the earliest deadline takes the next slot. At every slot each
 source then has its share of the slots, less or more by less than one block. The weights are fractions of the grain, so
 the schedule repeats after ``grain`` slots: one period is worked out and every block finds its slot by arithmetic.
+Where there are more sources than half the grain, the grain is twice their number. One row a source and one number a
+slot of the period lie on the driver and are broadcast: what these can hold is the limit to the number of sources.
 
 All rows are kept. Sources that run dry leave their slots empty; ``in_mix`` marks the slots before the first source
 runs dry, where the target weights hold.
@@ -30,7 +32,6 @@ GRAIN = 10_000
 BLOCK = 8
 #: Rows of a source that one bucket holds on average.
 BUCKET_ROWS = 4_000
-MAX_SOURCES = 5_000
 
 ADDED = ["block_no", "block_row", "release", "deadline", "slot", "position", "in_mix"]
 
@@ -76,14 +77,13 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, source:
     rows = without(docs, ADDED)
     src, ident = F.col(f"`{source}`"), F.col(f"`{doc_id}`")
     key = F.coalesce(F.concat(F.lit("s"), src.cast("string")), F.lit("n"))  # never null, so that it joins as it is partitioned
-    listed = rows.groupBy(src.cast("string").alias("source")).agg(F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()
-    if len(listed) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
+    listed = rows.groupBy(src.cast("string").alias("source")).agg(F.count("*").alias("n")).collect()
     sizes = {r.source: r.n for r in listed}
     if weights is None:
         weights = {s: n**0.5 for s, n in sizes.items()}
     elif missing := set(sizes) - set(weights):
         raise ValueError(f"sources without a weight: {sorted(map(str, missing))[:5]}")
+    grain = max(grain, 2 * len(weights))
     parts = shares(weights, grain) if weights else {}
     slots = period(parts, grain) if parts else {}
     blocks = {s: -(-n // block) for s, n in sizes.items()}

@@ -47,3 +47,10 @@ def test_empty_and_missing_weights(spark):
         mix(spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, source string"), {"a": 1.0})
     with pytest.raises(ValueError):
         shares({"a": 0.0})
+
+
+def test_more_sources_than_half_the_grain(spark):
+    n = 5_003
+    df = spark.range(2 * n).selectExpr("id as doc_id", f"concat('s', id % {n}) as source")
+    rows = mix(df).select("slot", "source").collect()
+    assert len(rows) == 2 * n and len({r.slot for r in rows}) == n
