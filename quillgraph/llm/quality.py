@@ -6,7 +6,8 @@ bytes of the text and by the larger size, goes through a logistic curve fitted o
 dictionaries have not seen. The score is the probability of label 1.
 
 Bounded sample: ``per_class`` labelled rows of each class at most, in the order of their ids' hash, of at most
-``max_chars`` characters each; half of them (by the hash) make the dictionaries, half the curve. Everything that is
+``max_chars`` characters each; half of them (by the hash) make the dictionaries, half the curve. A dictionary is trained on
+``dict_blocks`` of its rows' blocks at most, drawn at random with a fixed seed (None: on all). Everything that is
 scored is scored whole.
 
 Defined results
@@ -31,6 +32,8 @@ from quillgraph.llm.common import map_batches, without
 
 BLOCK, LEVEL, DICT_BYTES = 512, 3, 65_536
 PER_CLASS, MAX_CHARS = 2000, 20_000
+#: About a hundred times a dictionary's size.
+DICT_BLOCKS = DICT_BYTES * 100 // BLOCK
 
 SCORE = T.StructType([T.StructField("score", T.DoubleType())])
 
@@ -73,10 +76,10 @@ class Model:
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, self.curve[0] + self.curve[1] * x[0] + self.curve[2] * x[1]))))
 
 
-def _dictionary(texts: list[bytes]) -> bytes:
+def _dictionary(texts: list[bytes], blocks: int | None = DICT_BLOCKS) -> bytes:
     parts = [t[i : i + BLOCK] for t in texts for i in range(0, len(t), BLOCK)]
     order = np.random.default_rng(0).permutation(len(parts))
-    parts = [parts[i] for i in order[: DICT_BYTES * 100 // BLOCK]]
+    parts = [parts[i] for i in order[:blocks]]
     try:
         return zstandard.train_dictionary(DICT_BYTES, parts).as_bytes()
     except zstandard.ZstdError:  # too little text to train on: the text itself is the dictionary
@@ -99,7 +102,7 @@ def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
     return (float(w[0] - slope @ mean), *map(float, slope))
 
 
-def fit(docs: DataFrame, labels: DataFrame, usable: Column, text: str = "text", label: str = "quality", per_class: int = PER_CLASS, max_chars: int = MAX_CHARS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, usable: Column, text: str = "text", label: str = "quality", per_class: int = PER_CLASS, max_chars: int = MAX_CHARS, dict_blocks: int | None = DICT_BLOCKS) -> Model:
     """Learns from rows of ``docs`` for which ``usable`` holds and which ``labels`` marks; both have doc_id."""
     # ids first: only the chosen rows' texts are read
     marked = labels.where(usable & F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label).cast("int").alias("y"))
@@ -116,7 +119,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, text: str = "text",
     made, held = rows[::2], rows[1::2]
     if {r[2] for r in made} != {0, 1} or {r[2] for r in held} != {0, 1}:
         made = held = rows
-    model = Model(*(_dictionary([r[3].encode("utf-8", "replace") for r in made if r[2] == y]) for y in (1, 0)), None, (ones + 1) / (n + 2))
+    model = Model(*(_dictionary([r[3].encode("utf-8", "replace") for r in made if r[2] == y], dict_blocks) for y in (1, 0)), None, (ones + 1) / (n + 2))
     x = np.array([model.features(r[3]) for r in held])
     y = np.array([r[2] for r in held], float)
     curve = _curve(x, y)

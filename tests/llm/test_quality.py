@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from quillgraph.llm import quality
 from quillgraph.llm.quality import fit, score
 
 
@@ -47,3 +48,8 @@ def test_one_class_only_and_empty(labelled, spark):
     assert model.score("anything") == pytest.approx(121 / 122)
     assert fit(docs.where("false"), labels.where("false"), F.lit(True)).score(None) == 0.5
     assert score(docs.where("false"), model).count() == 0
+
+
+def test_the_blocks_of_a_dictionary_are_a_parameter():
+    texts = [bytes([65 + i]) * 512 for i in range(6)]  # too little to train on: the dictionary is its blocks
+    assert {n: len(quality._dictionary(texts, n)) for n in (1, 4, None)} == {1: 512, 4: 2048, None: 3072}
