@@ -5,19 +5,39 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+#: Tables that ``settle`` wrote and ``clear`` has not deleted yet.
+_written: list[str] = []
 
-def settle(df: DataFrame) -> DataFrame:
-    """Writes ``df`` to the folder that the cluster shares and reads it again, so that a lost executor costs nothing.
 
-    The folder is ``spark.checkpoint.dir`` of the session; a local one is made only where that is unset.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or else the context's checkpoint folder.
+
+    Where neither is set, a local session gets a folder of its own, and a cluster its warehouse: never a folder of one machine.
     """
-    spark = df.sparkSession
     place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not place:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quill-shared-"))
-        place = spark.sparkContext.getCheckpointDir()
-    path = f"{place}/quill-{uuid.uuid4().hex}"
+    if place:
+        return place
+    if not spark.sparkContext.master.startswith("local"):
+        return f"{spark.conf.get('spark.sql.warehouse.dir')}/quill-shared"
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quill-shared-"))
+    return spark.sparkContext.getCheckpointDir()
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Writes ``df`` to the shared folder and reads it again, so that a lost executor costs nothing."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/quill-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> int:
+    """Deletes the tables that this process settled. Frames that were made of them cannot be read any more."""
+    gone = 0
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        gone += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return gone
