@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,8 +9,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillgraph.operators.iterate import settle as cut
+
+__all__ = ["ASCII_LOWER", "BATCH_ROWS", "cut", "held_out", "map_batches", "read", "regroup", "small_batches", "without"]
+
 #: Rows in one Arrow batch. Texts may be long, so batches are kept short to bound a Python worker's memory.
-BATCH_ROWS = 256
+BATCH_ROWS = 128
 
 ASCII_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -32,26 +34,25 @@ def without(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select([F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a folder of our own only where none is set."""
-    place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not place:
-        place = tempfile.mkdtemp(prefix="quill-shared-")
-        spark.sparkContext.setCheckpointDir(place)
-        place = spark.sparkContext.getCheckpointDir()
-    return place
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage: writes ``df`` as a table in the shared folder and reads it again, so that a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quill-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches. All operators ask for the same number of rows, so the order of calls plays no part."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
+def regroup(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``rows``, for work on rows of bounded size that pays by the batch."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += len(batch)
+        if size >= rows:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+    if size:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
 def map_batches(df: DataFrame, added: T.StructType, work: Callable[[pa.RecordBatch], list[pa.Array]], keep: list[str] | None = None) -> DataFrame:
