@@ -7,14 +7,16 @@
    which lies nearest to the group's middle, leads the bucket; the others are compared with it. Pairs whose sketches
    estimate a similarity below ``FLOOR`` cannot be linked but by an error of over five deviations; the others are
    confirmed on their full sets. Confirmed links make components.
-3. A leader's members that are still in different components were not compared with one another yet. They are, in
-   blocks of ``BLOCK``: first by sketches, then, those with a partner left, on full sets. Only links that join
-   components are written, so a group of any size adds no more links than members.
+3. A leader's members that are still in different components were not compared with one another yet. Those outside the
+   group's largest component are outliers; each is compared with all members, which stay in blocks of ``BLOCK``: first by
+   sketches, then, those with a partner left, on full sets. Only links that join components are written, so a group of any
+   size adds no more links than members; what is copied is a row an outlier and block.
 Pairs at a similarity of 0.8 share a band key with probability 1 - (1 - 0.8^5)^32, over 0.999996; more if closer.
 
 Defined results
   no words or null text: empty set, no link. Fewer words than a shingle: the whole sequence is the one shingle.
   null id: the row is linked with nothing. Rows that share an id are one document. Extra columns play no part.
+  ids that are no whole numbers count as text, and the smallest is the first in text order.
 """
 
 from __future__ import annotations
@@ -25,8 +27,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from quillgraph.llm.common import ASCII_LOWER, cut, small_batches
 from quillgraph.llm.components import components
@@ -35,7 +39,9 @@ ROWS, BANDS = 5, 32
 HASHES = ROWS * BANDS
 BITS = 1024
 FLOOR = 0.62
-BLOCK = 1024
+BLOCK = 256
+#: Outliers held at once beside a block.
+ASKERS = 1024
 #: Ids that may be broadcast to pick texts; beyond it the texts are shuffled.
 BROADCAST_IDS = 1_000_000
 MEMO = 400_000
@@ -130,19 +136,25 @@ def _signatures(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFram
                 names=["doc_id", "n", "print", "bands", "sketch"],
             )
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text)).mapInArrow(run, "doc_id long, n long, print binary, bands array<long>, sketch array<long>")
+    kind = _kind(docs, doc_id)
+    return docs.select(F.col(doc_id).cast(kind).alias("doc_id"), F.col(text)).mapInArrow(run, f"doc_id {kind}, n long, print binary, bands array<long>, sketch array<long>")
+
+
+def _kind(docs: DataFrame, doc_id: str) -> str:
+    return "long" if isinstance(docs.schema[doc_id].dataType, T.IntegralType) else "string"
 
 
 def _sets(docs: DataFrame, ids: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
     """id and set (sorted hashes as bytes) of the documents named in ``ids``."""
-    own = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
+    kind = _kind(docs, doc_id)
+    own = docs.select(F.col(doc_id).cast(kind).alias("id"), F.col(text).alias("text"))
     own = own.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t, width).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["id", "set"])
 
-    return cut(own.mapInArrow(run, "id long, set binary"))
+    return cut(own.mapInArrow(run, f"id {kind}, set binary"))
 
 
 def _linked(size: int, a: int, b: int, percent: int) -> bool:
@@ -161,7 +173,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(_linked(len(np.intersect1d(p, q, assume_unique=True)), len(p), len(q), percent))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long").distinct()
+    return both.select("a", "b", "sa", "sb").mapInArrow(run, _shape(pairs, "a", "b")).distinct()
 
 
 def _sparse(links: DataFrame) -> DataFrame:
@@ -171,74 +183,98 @@ def _sparse(links: DataFrame) -> DataFrame:
     return cut(low.select("m", "a", "b").select(pairs.alias("p")).select("p.a", "p.b").where("a <> b").distinct())
 
 
-def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[list]]:
-    """Columns of each run of rows with equal first ``keys`` columns."""
-    now, held = None, []
+def _shape(df: DataFrame, *columns: str) -> T.StructType:
+    return T.StructType([df.schema[c] for c in columns])
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, list[tuple]]]:
+    """Rows (lead, block, asks, ...) sorted by the first three, as (True, members) for each lead and block, then (False, some askers).
+
+    Askers of a block without members are left out.
+    """
+    now, asks, held, block = None, 0, [], None
     for batch in batches:
-        cols = [c.to_pylist() for c in batch.columns]
-        for row in zip(*cols, strict=True):
-            if row[:keys] != now:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row[:2] != now or row[2] != asks or asks and len(held) >= ASKERS:
                 if held:
-                    yield [list(c) for c in zip(*held, strict=True)]
-                now, held = row[:keys], []
-            held.append(row)
+                    yield not asks, held
+                now, asks, held = row[:2], row[2], []
+            if not asks:
+                block = now
+            if block == now:
+                held.append(row)
     if held:
-        yield [list(c) for c in zip(*held, strict=True)]
+        yield not asks, held
 
 
-def _by_sketch(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Of each block pair's members, those with a partner that sketches and sizes allow in another component."""
+def _by_sketch(batches: Iterator[pa.RecordBatch], percent: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows (lead, block, asks, id, label) of members and askers with a partner that sketches and sizes allow in another component."""
     limit = most_bits(FLOOR)
-    for lead, i, j, block, ids, label, n, sketch in _grouped(batches, 3):
-        sk, lab, size, blk = np.array(sketch, np.int64).view(np.uint64), np.array(label), np.array(n), np.array(block)
-        hit = np.zeros(len(ids), bool)
-        for a in range(0, len(ids), 128):
+    members: list[tuple] = []
+    told = np.zeros(0, bool)
+
+    def out(rows: list[tuple], hit: np.ndarray) -> Iterator[pa.RecordBatch]:
+        kept = [rows[i][:5] for i in np.flatnonzero(hit).tolist()]
+        if kept:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*kept, strict=True), schema, strict=True)], schema=schema)
+
+    for first, rows in _met(batches):
+        label, n, sketch = np.array([r[4] for r in rows]), np.array([r[5] for r in rows]), np.array([r[6] for r in rows], np.int64).view(np.uint64)
+        if first:
+            yield from out(members, told)
+            members, told, theirs = rows, np.zeros(len(rows), bool), (label, n, sketch)
+            continue
+        hit = np.zeros(len(rows), bool)
+        for a in range(0, len(rows), 128):
             part = slice(a, a + 128)
-            fits = lab[part, None] != lab[None]
-            fits &= np.minimum(size[part, None], size[None]) * 100 >= percent * np.maximum(size[part, None], size[None])
-            if i[0] != j[0]:
-                fits &= blk[part, None] != blk[None]
+            fits = label[part, None] != theirs[0][None]
+            fits &= np.minimum(n[part, None], theirs[1][None]) * 100 >= percent * np.maximum(n[part, None], theirs[1][None])
             x, y = np.nonzero(fits)
-            near = np.bitwise_count(sk[part][x] ^ sk[y]).sum(1) <= limit if len(x) else np.zeros(0, bool)
+            near = np.bitwise_count(sketch[part][x] ^ theirs[2][y]).sum(1) <= limit if len(x) else np.zeros(0, bool)
             hit[x[near] + a] = True
-            hit[y[near]] = True
-        at = np.flatnonzero(hit).tolist()
-        if at:
-            yield pa.RecordBatch.from_pydict({k: [v[p] for p in at] for k, v in (("lead", lead), ("i", i), ("j", j), ("block", block), ("id", ids), ("label", label))}, schema=pa.schema([("lead", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("block", pa.int32()), ("id", pa.int64()), ("label", pa.int64())]))
-
-
-def _by_sets(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Links between components among each block pair's members: enough to join all that are linked."""
-    for _, i, j, block, ids, label, raw in _grouped(batches, 3):
-        parts = [np.frombuffer(r, np.uint64) for r in raw]
-        sizes = np.array([len(p) for p in parts])
-        starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-        vocab, flat = np.unique(np.concatenate(parts), return_inverse=True)
-        lab, blk = np.array(label), np.array(block)
-        values, times = np.unique(lab, return_counts=True)
-        main = values[times.argmax()]
-        mark = np.zeros(len(vocab), np.int32)
-        out: tuple[list[int], list[int]] = ([], [])
-        for x in np.flatnonzero(lab != main).tolist():
-            own = flat[starts[x] : starts[x] + sizes[x]]
-            mark[own] = 1
+            told[y[near]] = True
+        yield from out(rows, hit)
+    yield from out(members, told)
+
+
+def _by_sets(batches: Iterator[pa.RecordBatch], percent: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Links between components among each block's members and askers: enough to join all that are linked."""
+    up: dict = {}
+
+    def root(x):
+        while up.get(x, x) != x:
+            x = up[x]
+        return x
+
+    for first, rows in _met(batches):
+        if first:
+            up = {}
+            parts = [np.frombuffer(r[5], np.uint64) for r in rows]
+            ids, labels = [r[3] for r in rows], [r[4] for r in rows]
+            sizes = np.array([len(p) for p in parts])
+            starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+            vocab, flat = np.unique(np.concatenate(parts), return_inverse=True)
+            mark = np.zeros(len(vocab), np.int32)
+            continue
+        made: list[tuple] = []
+        for _, _, _, ident, label, raw in rows:
+            own = np.frombuffer(raw, np.uint64)
+            at = np.minimum(np.searchsorted(vocab, own), len(vocab) - 1)
+            at = at[vocab[at] == own]
+            mark[at] = 1
             both = np.add.reduceat(mark[flat], starts)
-            mark[own] = 0
-            near = (100 * both >= percent * (sizes[x] + sizes - both)) & (lab != lab[x])
-            if i[0] != j[0]:
-                near &= blk != blk[x]
-            for y in np.flatnonzero(near).tolist():
-                if lab[y] != lab[x]:
-                    out[0].append(ids[x])
-                    out[1].append(ids[y])
-                    lab[lab == lab[y]] = lab[x]
-        if out[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], names=["a", "b"])
+            mark[at] = 0
+            for y in np.flatnonzero(100 * both >= percent * (len(own) + sizes - both)).tolist():
+                mine, theirs = root(label), root(labels[y])
+                if mine != theirs:
+                    made.append((ident, ids[y]))
+                    up[mine] = theirs
+        if made:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made, strict=True), schema, strict=True)], schema=schema)
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs``: near-duplicates share a component."""
-    parts = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     signs = cut(_signatures(docs, doc_id, text, width))
     whole = signs.where("print is not null and doc_id is not null")
     reps = cut(whole.groupBy("print").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
@@ -250,7 +286,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
     at = cut(at.join(shared, "key"))
     middle = at.groupBy("id").agg(F.sum("members").alias("near"))
     at = at.join(middle, "id")
-    leads = at.groupBy("key").agg(F.max(F.struct("near", (-F.col("id")).alias("minus"))).alias("top")).select("key", (-F.col("top.minus")).alias("lead"))
+    leads = at.groupBy("key").agg(F.min(F.struct((-F.col("near")).alias("far"), "id")).alias("top")).select("key", F.col("top.id").alias("lead"))
     stars = at.join(leads, "key").where("id <> lead").select("lead", "id").distinct()
     bits = F.aggregate(F.zip_with("s1", "s2", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, v: acc + v)
     stars = stars.join(sketches.select("id", F.col("sketch").alias("s1")), "id").join(sketches.select(F.col("id").alias("lead"), F.col("sketch").alias("s2")), "lead")
@@ -264,17 +300,23 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
 
     # members of one leader that are in different components have not met yet
     label = stars.select("lead", "id").join(comps, "id", "left").select("lead", "id", F.coalesce("component", "id").alias("label"))
-    open_leads = label.groupBy("lead").agg(F.count("*").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-    open_leads = open_leads.select("lead", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    rows = label.join(open_leads, "lead").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("lead", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "label").join(sketches, "id")
-    rows = rows.select("lead", "i", "j", "block", "id", "label", "n", "sketch").repartition(parts, "lead", "i", "j").sortWithinPartitions("lead", "i", "j", "id")
-    left = cut(rows.mapInArrow(lambda b: _by_sketch(b, percent), "lead long, i int, j int, block int, id long, label long"))
+    sizes = label.groupBy("lead", "label").agg(F.count("*").alias("m"))
+    open_leads = sizes.groupBy("lead").agg(F.sum("m").alias("all"), F.count("*").alias("kinds"), F.min(F.struct((-F.col("m")).alias("less"), "label")).alias("main")).where("kinds > 1")
+    open_leads = open_leads.select("lead", F.col("main.label").alias("main"), F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks"))
+    rows = label.join(open_leads, "lead").join(sketches, "id")
+    place = F.array(F.struct(F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"), F.lit(0).alias("asks")))
+    asked = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(b.alias("block"), F.lit(1).alias("asks")))
+    rows = rows.withColumn("at", F.explode(F.when(F.col("label") == F.col("main"), place).otherwise(F.concat(place, asked))))
+    rows = rows.select("lead", F.col("at.block").alias("block"), F.col("at.asks").alias("asks"), "id", "label", "n", "sketch")
+    shape = _shape(rows, "lead", "block", "asks", "id", "label")
+    arrow = to_arrow_schema(shape)
+    left = cut(rows.repartition("lead", "block").sortWithinPartitions("lead", "block", "asks").mapInArrow(lambda b: _by_sketch(b, percent, arrow), shape))
     if not left.isEmpty():
         sets = _sets(docs, left.select("id").distinct(), doc_id, text, width)
-        rows = left.join(sets, "id").select("lead", "i", "j", "block", "id", "label", "set").repartition(parts, "lead", "i", "j").sortWithinPartitions("lead", "i", "j", "id")
-        more = cut(rows.mapInArrow(lambda b: _by_sets(b, percent), "a long, b long"))
+        rows = left.join(sets, "id").select("lead", "block", "asks", "id", "label", "set").repartition("lead", "block").sortWithinPartitions("lead", "block", "asks")
+        pair = _shape(links, "a", "b")
+        two = to_arrow_schema(pair)
+        more = cut(rows.mapInArrow(lambda b: _by_sets(b, percent, two), pair))
         if not more.isEmpty():
             comps = components(links.union(more))
 
@@ -284,13 +326,19 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` less all but the smallest id of each class; of rows that share this id one stays. Rows with a null id stay."""
+    """``docs`` less all but the smallest id of each class; of rows that share this id the first stays, by text and then the other columns.
+
+    Rows with a null id stay.
+    """
+    kind = _kind(docs, doc_id)
     kept = cut(classes(docs.where(F.col(doc_id).isNotNull()), doc_id, text, width, percent).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("__copies")))
     kept = kept.withColumnRenamed("doc_id", "__kept_id")
-    on = F.col(f"`{doc_id}`").cast("long") == F.col("__kept_id")
+    on = F.col(f"`{doc_id}`").cast(kind) == F.col("__kept_id")
     single = docs.join(_small(kept.where("__copies = 1").select("__kept_id")), on, "left_semi")
-    several = docs.join(_small(kept.where("__copies > 1").select("__kept_id")), on, "left_semi").dropDuplicates([doc_id])
-    return single.union(several).union(docs.where(F.col(doc_id).isNull()))
+    several = docs.join(_small(kept.where("__copies > 1").select("__kept_id")), on, "left_semi")
+    order = [text] + [f.name for f in docs.schema if f.name != text and not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    first = several.withColumn("__first", F.row_number().over(Window.partitionBy(doc_id).orderBy(*[F.col(f"`{c}`") for c in order]))).where("__first = 1").drop("__first")
+    return single.union(first).union(docs.where(F.col(doc_id).isNull()))
 
 
 def _small(ids: DataFrame) -> DataFrame:

@@ -91,3 +91,35 @@ def test_components_of_long_paths(spark):
     got = {r.id: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert {got[n] for n in names} == {min(names)} and got[2001] == 2000
     assert components(spark.createDataFrame([], "a long, b long")).select(F.count("*")).first()[0] == 0
+
+
+def test_ids_that_are_text(spark):
+    texts = corpus(3)
+    ids = [f"d{i:03}" for i in range(len(texts))]
+    df = spark.createDataFrame(list(zip(ids, texts)), "doc_id string, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in classes(df, width=5).collect()}
+    assert [got[i] for i in ids] == [(n, ids[c]) for n, c in brute(texts, 5)]
+    assert sorted(r.doc_id for r in dedup(df).collect()) == sorted({ids[c] for _, c in brute(texts, 5)})
+
+
+def test_of_rows_that_share_an_id_the_first_by_text_stays(spark):
+    rows = [(1, "b c d e f g", 2), (1, "a c d e f g", 1), (1, "a c d e f g", 0), (2, "z", 0), (None, "z", 0), (None, "z", 0)]
+    got = sorted((r.doc_id or 0, r.text, r.x) for r in dedup(spark.createDataFrame(rows, "doc_id long, text string, x int")).collect())
+    assert got == [(0, "z", 0), (0, "z", 0), (1, "a c d e f g", 0), (2, "z", 0)]
+
+
+def test_hot_labels_of_components(spark, monkeypatch):
+    from quillgraph.llm import components as c
+
+    monkeypatch.setattr(c, "HOT", 3)
+    links = [(i, i + 1) for i in range(1, 30)] + [(100, 100 + i) for i in range(9)] + [(200, 201)]
+    got = dict(map(tuple, c.components(spark.createDataFrame(links, "a long, b long")).collect()))
+    assert got == {**dict.fromkeys(range(1, 31), 1), **dict.fromkeys(range(100, 109), 100), 200: 200, 201: 200}
+
+
+def test_blocks_without_members(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 1)
+    texts = corpus(11)[:70]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in classes(df, width=2).collect()}
+    assert [got[i] for i in range(len(texts))] == brute(texts, 2)
