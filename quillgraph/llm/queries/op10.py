@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm.chat import format_turns, from_rows, loss_text, read_back
+from quillgraph.llm.chat import format_turns, from_records, loss_text, read_back
 from quillgraph.llm.common import read
 
 TRICKY = r"\### Assistant: </turn> ok"
@@ -11,8 +11,10 @@ TRICKY = r"\### Assistant: </turn> ok"
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = read(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
-    more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(TRICKY).alias("text"))
-    out = format_turns(from_rows(table.unionByName(more)))
+    # the added conversation comes in another layout; each record's fingerprint tells how it is read
+    said = F.array(*[F.struct(F.lit(r).alias("role"), F.lit(TRICKY).alias("content")) for r in ("user", "assistant")])
+    more = spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), said.alias("messages"))
+    out = format_turns(from_records(table.unionByName(more, allowMissingColumns=True)))
     turns, loss = read_back(F.col("formatted")), loss_text(F.col("formatted"), F.col("loss_spans"))
     return out.select("conv_id", turns.alias("turns"), loss.alias("loss"), F.length("formatted").cast("long").alias("formatted_chars")).select(
         "conv_id",
