@@ -5,7 +5,8 @@ weights, in ``grain``-ths) releases its i-th block at slot floor(i / w) and must
 ceil((i + 1) / w). Of the released blocks the one with the earliest deadline takes the next slot. At every slot each
 source then has its share of the slots, less or more by less than one block. The weights are fractions of the grain, so
 the schedule repeats after ``grain`` slots: one period is worked out and every block finds its slot by arithmetic.
-Where there are more sources than half the grain, the grain is twice their number. One row a source and one number a
+The grain is ``FINE`` times the number of sources at least, so that a source of the least share, one part, has
+a small part of the mean weight; targets below it are raised to it. One row a source and one number a
 slot of the period lie on the driver and are broadcast: what these can hold is the limit to the number of sources.
 
 All rows are kept. Sources that run dry leave their slots empty; ``in_mix`` marks the slots before the first source
@@ -26,12 +27,14 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import without
+from quillgraph.llm.common import cut, without
 
 GRAIN = 10_000
 BLOCK = 8
 #: Rows of a source that one bucket holds on average.
 BUCKET_ROWS = 4_000
+#: Parts of the grain that a source of mean weight has at least.
+FINE = 64
 
 ADDED = ["block_no", "block_row", "release", "deadline", "slot", "position", "in_mix"]
 
@@ -83,7 +86,7 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, source:
         weights = {s: n**0.5 for s, n in sizes.items()}
     elif missing := set(sizes) - set(weights):
         raise ValueError(f"sources without a weight: {sorted(map(str, missing))[:5]}")
-    grain = max(grain, 2 * len(weights))
+    grain = max(grain, FINE * len(weights))
     parts = shares(weights, grain) if weights else {}
     slots = period(parts, grain) if parts else {}
     blocks = {s: -(-n // block) for s, n in sizes.items()}
@@ -95,8 +98,11 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, source:
     plan = [("n" if s is None else "s" + s, -(-n // BUCKET_ROWS), parts[s], slots[s]) for s, n in sizes.items()]
     table = F.broadcast(spark.createDataFrame(plan, "__mix_k string, __mix_buckets long, __mix_parts long, __mix_slots array<long>"))
     # a source's documents are numbered bucket by bucket, so that no task holds a whole source
-    dealt = rows.withColumn("__mix_k", key).withColumn("__mix_hash", F.xxhash64(ident.cast("string"), F.lit("mix"))).join(table.select("__mix_k", "__mix_buckets"), "__mix_k")
-    dealt = dealt.withColumn("__mix_bucket", F.pmod("__mix_hash", "__mix_buckets"))
+    keyed = rows.withColumn("__mix_k", key).withColumn("__mix_hash", F.xxhash64(ident.cast("string"), F.lit("mix")))
+    dealt = _dealt(keyed, table)
+    largest = dealt.groupBy("__mix_k", "__mix_bucket").count().agg(F.max("count")).first()[0] or 0
+    if largest > 16 * BUCKET_ROWS:  # one id, or a null one, has many rows: these are dealt by a number of their own, written down first
+        dealt = _dealt(cut(keyed.withColumn("__mix_hash", F.xxhash64("__mix_hash", F.monotonically_increasing_id()))), table)
     before = Window.partitionBy("__mix_k").orderBy("__mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = dealt.groupBy("__mix_k", "__mix_bucket").agg(F.count("*").alias("n")).select("__mix_k", "__mix_bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__mix_from"))
     numbered = dealt.withColumn("__mix_n", F.row_number().over(Window.partitionBy("__mix_k", "__mix_bucket").orderBy("__mix_hash", ident)) - 1)
@@ -107,3 +113,7 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, source:
     put = put.withColumn("slot", (F.floor(F.col("block_no") / F.col("__mix_parts")) * grain + F.expr("__mix_slots[cast(block_no % __mix_parts as int)]")).cast("long"))
     put = put.withColumn("position", F.col("slot") * block + F.col("block_row")).withColumn("in_mix", F.col("slot") < dry)
     return put.select([F.col(f"`{c}`") for c in rows.columns + ADDED])
+
+
+def _dealt(keyed: DataFrame, table: DataFrame) -> DataFrame:
+    return keyed.join(table.select("__mix_k", "__mix_buckets"), "__mix_k").withColumn("__mix_bucket", F.pmod("__mix_hash", "__mix_buckets"))

@@ -303,7 +303,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
     sizes = label.groupBy("lead", "label").agg(F.count("*").alias("m"))
     open_leads = sizes.groupBy("lead").agg(F.sum("m").alias("all"), F.count("*").alias("kinds"), F.min(F.struct((-F.col("m")).alias("less"), "label")).alias("main")).where("kinds > 1")
     open_leads = open_leads.select("lead", F.col("main.label").alias("main"), F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks"))
-    rows = label.join(open_leads, "lead").join(sketches, "id")
+    rows = label.join(_small(cut(open_leads)), "lead").join(sketches, "id")  # a leader may have any number of members
     place = F.array(F.struct(F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"), F.lit(0).alias("asks")))
     asked = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(b.alias("block"), F.lit(1).alias("asks")))
     rows = rows.withColumn("at", F.explode(F.when(F.col("label") == F.col("main"), place).otherwise(F.concat(place, asked))))

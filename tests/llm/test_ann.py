@@ -50,3 +50,25 @@ def test_ties_copies_and_unusable_vectors(spark):
 def test_fewer_than_k(spark, n):
     df = spark.createDataFrame([(i * 100, [float(i + 1), 1.0], None) for i in range(n)], SCHEMA)
     assert search(df, F.col("vec_id") % 100 == 0).count() == n * max(0, n - 1)
+
+
+def test_lower_trees(spark, monkeypatch):
+    from quillgraph.llm import ann
+
+    monkeypatch.setattr(ann, "DEAL", 100)
+    monkeypatch.setattr(ann, "LEAF", 16)
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(12, 8))
+    x = (centres[np.minimum(rng.integers(0, 20, 3000), 11)] + 0.3 * rng.normal(size=(3000, 8))).astype(np.float32)
+    rows = {i: v.tolist() for i, v in enumerate(x)}
+    df = spark.createDataFrame([(i, v, "x") for i, v in rows.items()], SCHEMA)
+    got = search(df, F.col("vec_id") % 100 == 0, sample=400, trials=60, max_leaves=5, block=20).collect()
+    want = brute(rows, [i for i in rows if i % 100 == 0], 10)
+    hits = sum(len({r.vec_id for r in got if r.query_id == q} & {i for _, i in near}) for q, near in want.items())
+    assert len(got) == 10 * len(want) and hits >= 0.9 * 10 * len(want), hits
+
+
+def test_lengths_do_not_mix(spark):
+    rows = [(i, [float(i), 1.0, 2.0][: 2 + i % 2], None) for i in range(1, 41)]
+    got = search(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 20 == 0, k=3).collect()
+    assert {r.query_id for r in got} == {20, 40} and all(r.vec_id % 2 == 0 for r in got)

@@ -63,3 +63,24 @@ def test_empty_tables(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert annotate(df, bench).first().n_hit == 0
     assert annotate(df.where("false"), bench).count() == 0
+
+
+def test_an_item_larger_than_an_automaton(spark):
+    words = [f"w{i}" for i in range(400)]
+    docs = [" ".join(words[a : a + n]) for a, n in ((0, 400), (35, 12), (50, 9), (391, 9), (380, 20))] + ["w1 w2"]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    items = [(1, " ".join(words)), (2, "w1 w2")]
+    got = {r.doc_id: r for r in annotate(df, spark.createDataFrame(items, "item_id long, text string"), max_words=210).collect()}
+    for i, t in enumerate(docs):
+        assert (got[i].n_words, got[i].n_hit, got[i].hit_items) == brute(t, items)
+
+
+def test_size_of_an_automaton():
+    import pickle
+    import random
+
+    from quillgraph.llm.decontam import SuffixAutomaton
+
+    rng = random.Random(1)
+    items = [(str(k), [b"word%d" % rng.randrange(5_000) for _ in range(50)]) for k in range(400)]
+    assert len(pickle.dumps(SuffixAutomaton(items, 10))) <= 100 * 20_000 + 100 * 5_000

@@ -54,3 +54,23 @@ def test_more_sources_than_half_the_grain(spark):
     df = spark.range(2 * n).selectExpr("id as doc_id", f"concat('s', id % {n}) as source")
     rows = mix(df).select("slot", "source").collect()
     assert len(rows) == 2 * n and len({r.slot for r in rows}) == n
+
+
+def test_many_rows_of_one_id(spark, monkeypatch):
+    from quillgraph.llm import mixing
+
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 4)
+    rows = [(None, "a")] * 300 + [(7, "a")] * 200 + [(i, "ab"[i % 2]) for i in range(100)]
+    out = mix(spark.createDataFrame(rows, "doc_id long, source string")).collect()
+    assert len(out) == 600 and len({r.position for r in out}) == 600
+    numbers = sorted((r.source, r.block_no * 8 + r.block_row) for r in out)
+    assert numbers == [(s, i) for s, n in (("a", 550), ("b", 50)) for i in range(n)]
+
+
+def test_shares_follow_the_targets_of_many_sources(spark):
+    weights = {f"s{i}": 1.0 + i % 10 for i in range(1500)}
+    df = spark.createDataFrame([(i, f"s{i}") for i in range(1500)], "doc_id long, source string")
+    got = {r.source: r.deadline for r in mix(df, weights).collect()}
+    mean = sum(weights.values()) / len(weights)
+    for s, due in got.items():  # the first block is due after the period over the parts
+        assert abs(1500 * mean / weights[s] - due) <= 0.05 * due + 1

@@ -1,10 +1,15 @@
+import math
 import random
+import zlib
 
+import duckdb
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from quillgraph.llm import quality
 from quillgraph.llm.quality import fit, score
+from quillgraph.llm.queries.op1 import op1_quality
 
 
 def prose(rng):
@@ -53,3 +58,38 @@ def test_one_class_only_and_empty(labelled, spark):
 def test_the_blocks_of_a_dictionary_are_a_parameter():
     texts = [bytes([65 + i]) * 512 for i in range(6)]  # too little to train on: the dictionary is its blocks
     assert {n: len(quality._dictionary(texts, n)) for n in (1, 4, None)} == {1: 512, 4: 2048, None: 3072}
+
+
+def test_scores_as_brute_force(labelled, spark):
+    docs, labels = labelled
+    model = fit(docs, labels, F.lit(True))
+    more = docs.union(spark.createDataFrame([(900, "é" * 3000), (901, "a mixed | BUY!! of river stone " * 999)], docs.schema))
+    for r in score(more, model).collect():
+        sizes, data = [], r.text.encode()
+        for raw in (model.good, model.bad):
+            press = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(raw), write_content_size=False, write_dict_id=False)
+            sizes.append(sum(len(press.compress(data[i : i + 512])) for i in range(0, len(data), 512)))
+        a, b, c = model.curve
+        margin = a + b * (sizes[1] - sizes[0]) / len(data) + c * (sizes[1] - sizes[0]) / max(sizes)
+        assert r.score == pytest.approx(1 / (1 + math.exp(-max(-60, min(60, margin)))), rel=1e-9)
+
+
+def test_long_labelled_texts_take_part(spark):
+    rng = random.Random(5)
+    rows = [(i, (prose(rng) if i % 2 else junk(rng)) * 60, i % 2) for i in range(40)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    model = fit(docs, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, quality int"), F.lit(True))
+    assert model.score(prose(rng)) > 0.5 > model.score(junk(rng))
+
+
+def test_the_query_learns_from_no_row_that_is_held_out(spark, tmp_path):
+    source = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{source}/documents.parquet")
+    labels = spark.read.parquet(f"{source}/labels.parquet")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.withColumn("quality", F.when(held, 1 - F.col("quality")).otherwise(F.col("quality"))).write.parquet(f"{tmp_path}/labels.parquet")
+    first, second = ({r.doc_id: r for r in op1_quality(spark, d).collect()} for d in (source, str(tmp_path)))
+    assert first == second
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == (r.score >= 0.3) for r in first.values())
+    assert len(first) == duckdb.sql(f"select count(*) from '{source}/documents.parquet'").fetchall()[0][0]

@@ -1,7 +1,11 @@
+import math
+import re
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 from quillgraph.llm.queries.op9 import RULES, op9_url_filter
-from quillgraph.llm.urls import Bayes, Segmenter, host_of, judge, path_of
+from quillgraph.llm.urls import Bayes, Segmenter, host_of, judge, page_text, path_of, path_tokens
 
 
 def test_viterbi_as_brute_force():
@@ -72,3 +76,46 @@ def test_the_result_does_not_depend_on_what_is_broadcast(spark):
 def test_host_and_path_are_native(spark):
     df = spark.range(1).select(host_of(F.lit("http://A.b/c")).alias("h"), path_of(F.lit("http://A.b/c")).alias("p"))
     assert tuple(df.first()) == ("a.b", "/c")
+
+
+def test_verdicts_of_a_whole_table_as_brute_force(spark):
+    """The words, the cuts and the naive Bayes of op9, worked out in plain Python over all pages."""
+    source = "/root/testdata/sf0.001"
+    pages = spark.read.parquet(f"{source}/pages.parquet")
+    rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), page_text(F.col("html")).alias("text")).collect()
+    dotted = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://\S*|[^\W]+(?:-[^\W]*)*(?:\.[\w-]+)+")
+    letters = re.compile(r"[^\W\d_]{2,}")
+    counts = Counter(w for r in rows for said in (r.path, dotted.sub(" ", r.text or "")) for w in letters.findall(said.lower()))
+    cutter = Segmenter(dict(counts))
+
+    def labels(host):
+        return [p for p in re.split(r"[^0-9a-z\x80-\U0010ffff]+", host) if p not in ("", "www", "m")]
+
+    cuts = {p: cutter.split(p) for r in rows for p in labels(r.host)}
+    assert sum(len(c) > 1 for c in cuts.values()) >= 15  # concatenated words are cut
+    tokens = {r.page_id: ["h:" + w for p in labels(r.host) for w in cuts[p]] + path_tokens(r.path) for r in rows}
+    got = {r.page_id: r for r in op9_url_filter(spark, source).collect()}
+    seen = {"allow": Counter(), "block": Counter()}
+    for i, r in got.items():
+        if r.rule is not None:
+            seen[r.verdict].update(tokens[i])
+    kinds = len(set(seen["allow"]) | set(seen["block"]))
+    totals = {v: seen[v].total() + kinds + 1 for v in seen}
+    given = Counter(r.verdict for r in got.values() if r.rule is not None)
+    free = 0
+    for i, r in got.items():
+        if r.rule is None:
+            odds = math.log(given["block"] / given["allow"])
+            odds += sum(math.log((seen["block"][t] + 1) / totals["block"]) - math.log((seen["allow"][t] + 1) / totals["allow"]) for t in tokens[i])
+            if abs(odds) > 1e-6:
+                assert (r.verdict == "block") == (odds > 0), (i, r, odds)
+                free += 1
+    assert free > 0
+
+
+def test_very_long_urls_and_ties(spark):
+    rows = [(1, "http://" + "a" * 20_000 + ".org/" + "b/" * 20_000), (2, "http://x.org/y"), (3, "http://x.com/y"), (4, "http://x.net/es/")]
+    got = {r.page_id: r.verdict for r in judge(spark.createDataFrame(rows, "page_id long, url string"), RULES).collect()}
+    assert set(got) == {1, 2, 3, 4} and got[3] == "allow" and got[4] == "block"
+    even = [(1, "http://a.com/x"), (2, "http://a.net/es/x"), (3, "http://q.org/")]
+    assert {r.page_id: r.verdict for r in judge(spark.createDataFrame(even, "page_id long, url string"), RULES).collect()}[3] == "allow"
