@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillgraph.operators.iterate import settle
+
 #: Words of a question that ask for code or for documents, and words that no question searches for.
 DEVELOPMENT = [
     "caller", "callers", "call", "calls", "depend", "dependency", "dependencies", "import", "imports", "function", "method", "class",
@@ -87,12 +89,28 @@ def token_cost(s: Column) -> Column:
     return F.greatest(F.lit(1), F.floor(F.length(s) / 4)).cast("long")
 
 
+def running_sum(rows: DataFrame, group: str, order: str, value: Column, name: str) -> DataFrame:
+    """Adds ``name``, the sum of ``value`` from the group's first row to this one by ``order``; ties by ``order`` share no fixed order.
+
+    Rows are dealt by ranges of group and order, settled, and summed within each range; the ranges' own sums, which are few,
+    tell what came before. So a group of any size is the work of many tasks.
+    """
+    # written before they are summed twice: ranges come from a sample
+    dealt = settle(rows.repartitionByRange(F.col(group), F.col(order)).withColumn("_range", F.spark_partition_id()).withColumn("_value", value))
+    sums = dealt.groupBy(group, "_range").agg(F.sum("_value").alias("_all"))
+    before = sums.select(F.col(group).alias("_group"), F.col("_range").alias("_of"), (F.sum("_all").over(Window.partitionBy(group).orderBy("_range")) - F.col("_all")).alias("_before"))
+    within = dealt.withColumn("_here", F.sum("_value").over(Window.partitionBy(group, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
+    joined = within.join(before, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_range") == F.col("_of")))
+    return joined.withColumn(name, F.col("_here") + F.col("_before")).drop("_range", "_value", "_here", "_before", "_group", "_of")
+
+
 def pack_budget(rows: DataFrame, budget: int, group: str, order: str, cost: str, brief: str) -> DataFrame:
-    """Adds ``full``, false from the first row on whose full cost does not fit, and ``used``, the running cost (brief rows cost ``brief``)."""
-    by = Window.partitionBy(group).orderBy(order)
-    running = rows.withColumn("_sum", F.sum(cost).over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    first = running.withColumn("_over", F.max((F.col("_sum") > budget).cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    return first.withColumn("full", F.col("_over") == 0).withColumn("used", F.sum(F.when(F.col("_over") == 0, F.col(cost)).otherwise(F.col(brief))).over(by.rowsBetween(Window.unboundedPreceding, 0))).drop("_sum", "_over")
+    """Adds ``full``, false from the first row on whose full cost does not fit, and ``used``, the running cost (brief rows cost ``brief``).
+
+    Costs are not negative.
+    """
+    summed = running_sum(rows, group, order, F.col(cost), "_sum").withColumn("full", F.col("_sum") <= budget).drop("_sum")
+    return running_sum(summed, group, order, F.when(F.col("full"), F.col(cost)).otherwise(F.col(brief)), "used")
 
 
 def slice_lines(content: Column, start: Column, end: Column) -> Column:

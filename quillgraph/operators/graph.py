@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillgraph.operators.iterate import settle
+from quillgraph.operators.iterate import settle, steady
 
 LOW_CONFIDENCE = 0.65
 
@@ -46,7 +46,7 @@ def isolated(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def expand(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int = 2, types: list[str] | None = None) -> DataFrame:
     """node_id and hops of all that an undirected walk of ``depth`` steps from the seeds (column id) reaches. Missing nodes stop it."""
-    used = edges.where(F.col("type").isin(types)) if types else edges
+    used = steady((edges.where(F.col("type").isin(types)) if types else edges).select("src", "dst"))
     steps = used.select(F.col("src").alias("a"), F.col("dst").alias("b")).union(used.select("dst", "src"))
     known = nodes.select("id")
     frontier = settle(seeds.select("id").distinct().join(known, "id", "left_semi"))
@@ -73,7 +73,7 @@ def blast_radius(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, floor: fl
     Only edges of ``types`` at ``floor`` or above count. The edge of the smallest id tells how a node was reached. At
     most ``max_nodes`` nodes a seed, nearest first, then by id (all, if None).
     """
-    used = edges.where(F.col("type").isin(*types) & (F.col("confidence") >= floor)).select("src", "dst", F.col("id").alias("via_edge"))
+    used = steady(edges.where(F.col("type").isin(*types) & (F.col("confidence") >= floor)).select("src", "dst", F.col("id").alias("via_edge")))
     frontier = settle(seeds.select(F.col("id").alias("seed"), F.col("id").alias("node_id")).distinct())
     seen = frontier.select("seed", "node_id", F.lit(0).alias("hops"), F.lit(None).cast("string").alias("via_edge"))
     for hop in range(1, max_depth + 1):
@@ -103,6 +103,7 @@ def distances(edges: DataFrame, source: str, weight: Column | None = None, round
     """
     spark = edges.sparkSession
     used = edges.select("src", "dst", F.col("id").alias("via"), (F.col("confidence") if weight is None else weight).cast("double").alias("w"))
+    used = steady(used)
     best = settle(spark.createDataFrame([(source, 0.0, None)], "node_id string, distance double, via string"))
     moved = best
     for _ in range(rounds):
@@ -123,19 +124,25 @@ def find_path(nodes: DataFrame, edges: DataFrame, source: str, target: str, weig
     if nodes.where(F.col("id").isin(source, target)).select("id").distinct().count() < len({source, target}):
         return spark.createDataFrame([], "step int, node_id string")
     best = distances(drop_dangling(nodes, edges), source, weight)
-    back = best.join(edges.select(F.col("id").alias("via"), "src"), "via", "left").select("node_id", "src")
-    path, at = [target], target
-    while at != source:
-        row = back.where(F.col("node_id") == at).first()
-        if row is None or row.src is None:
-            return spark.createDataFrame([], "step int, node_id string")
-        at = row.src
-        path.append(at)
-    return spark.createDataFrame(list(enumerate(reversed(path))), "step int, node_id string")
-
-
-def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 20, damping: float = 0.85, weighted: bool = False, tolerance: float | None = None) -> DataFrame:
-    """id, rank. Nodes without outgoing edges give their rank to all. Stops early once no rank moves by ``tolerance``."""
+    jump = settle(best.join(edges.select(F.col("id").alias("via"), "src"), "via", "left").select("node_id", F.col("src").alias("up")))
+    # places on the way back from the target; each round doubles how far back they reach
+    back = settle(spark.createDataFrame([(0, target)], "back int, node_id string"))
+    reach = 1
+    while True:
+        more = settle(back.join(jump, "node_id").where("up is not null").select((F.col("back") + reach).alias("back"), F.col("up").alias("node_id")))
+        if more.isEmpty():
+            break
+        back, reach = settle(back.union(more)), 2 * reach
+        jump = settle(jump.join(jump.toDF("up", "next"), "up", "left").select("node_id", F.col("next").alias("up")))
+    last = back.agg(F.max("back").alias("last"), F.max_by("node_id", "back").alias("first")).where(F.col("first") == source)
+    return back.crossJoin(F.broadcast(last)).select((F.col("last") - F.col("back")).alias("step"), "node_id")
+
+
+def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 100, damping: float = 0.85, weighted: bool = True, tolerance: float | None = 1e-4) -> DataFrame:
+    """id, rank. Rank goes along edges in proportion to their confidence; nodes without outgoing edges give theirs to all.
+
+    Stops early once no rank moves by ``tolerance``.
+    """
     w = F.col("confidence") if weighted else F.lit(1.0)
     links = drop_dangling(nodes, edges).select("src", "dst", w.alias("w"))
     out = links.groupBy("src").agg(F.sum("w").alias("out"))
@@ -194,9 +201,10 @@ def subtype_closure(pairs: DataFrame) -> DataFrame:
         known = settle(known.union(fresh))
 
 
-def bundle(nodes: DataFrame, edges: DataFrame, limit: int = 50, iterations: int = 20) -> DataFrame:
+def bundle(nodes: DataFrame, edges: DataFrame, limit: int = 50, iterations: int = 100, tolerance: float | None = 1e-4) -> DataFrame:
     """The nodes by PageRank in their own subgraph times confidence, the first ``limit``, with rank, position and total."""
-    ranks = pagerank(nodes, induced(nodes, edges), iterations)
+    nodes = steady(nodes)
+    ranks = pagerank(nodes, induced(nodes, edges), iterations, tolerance=tolerance)
     scored = nodes.join(ranks, "id").withColumn("score", F.round(F.col("rank") * F.col("confidence"), 12))
     total = nodes.agg(F.count("*").alias("total"))
     top = scored.orderBy(F.desc("score"), "id").limit(limit).withColumn("position", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
@@ -211,6 +219,9 @@ def topological_order(modules: DataFrame) -> DataFrame:
         d += 1
         frontier = settle(modules.join(frontier.select(F.col("id").alias("parent_id")), "parent_id", "left_semi").join(depth, "id", "left_anti").select("id", "path", F.lit(d).alias("depth")))
         depth = depth.union(frontier)
-    every = modules.select("id", "path").join(depth.select("id", "depth"), "id", "left")
-    order = Window.orderBy(F.desc_nulls_last("depth"), "path")
-    return every.select("path", F.coalesce("depth", F.lit(-1)).alias("depth"), F.row_number().over(order).alias("position"))
+    every = settle(modules.select("id", "path").join(depth.select("id", "depth"), "id", "left").select("path", F.coalesce("depth", F.lit(-1)).alias("depth")))
+    # numbered within a depth; the depths, which are few, tell where each begins
+    sizes = every.groupBy("depth").agg(F.count("*").alias("n"))
+    starts = sizes.select("depth", (F.sum("n").over(Window.orderBy(F.desc("depth"))) - F.col("n")).alias("before"))
+    within = every.withColumn("n", F.row_number().over(Window.partitionBy("depth").orderBy("path")))
+    return within.join(F.broadcast(starts), "depth").select("path", "depth", (F.col("n") + F.col("before")).cast("int").alias("position"))

@@ -34,6 +34,15 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def steady(df: DataFrame) -> DataFrame:
+    """``df`` itself where reading it is a scan, with no more than filters and projections; else settled.
+
+    Loops name their edges once a round: a stored table is read anew, a derived one must not be derived anew.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return settle(df) if any(word in plan for word in ("Aggregate", "Join", "Window", "Sort", "Generate", "Distinct", "Except", "Intersect", "MapIn", "InMemory")) else df
+
+
 def clear(spark: SparkSession) -> int:
     """Deletes the tables that this process settled. Frames that were made of them cannot be read any more."""
     gone = 0

@@ -5,7 +5,7 @@ The order counts: filter, narrow, rung, cap. A rung over the cap never falls thr
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions.text import basename_of, declaring_type, directory_of, file_of, scope_of
@@ -116,8 +116,14 @@ def resolve(refs: DataFrame, nodes: DataFrame, imports: DataFrame | None = None,
     # rung 1: files that the referrer's file imports
     if imports is not None:
         tokens = imports.select("path", F.col("token").alias("_base")).where("_base <> ''").distinct()
-        found.append(settle(left.join(tokens, "path").join(named, ["name", "_base"]).where(fits).select(*keep)))
-        left = left.join(found[1].select("ref_id"), "ref_id", "left_anti")
+        # counted first: a common file name with a common declaration is not listed for each reference
+        base_all, base_own = counted("name", "_base")
+        via = left.join(tokens, "path").join(base_all, ["name", "_base"]).join(base_own, ["name", "_base", "_by"], "left")
+        via = via.groupBy("ref_id").agg(F.sum(F.when(F.col("_narrow"), F.coalesce("_own", F.lit(0))).otherwise(F.col("_all"))).alias("_via")).where("_via > 0")
+        via = settle(via)
+        few = left.join(via.where(F.col("_via") <= cap).select("ref_id"), "ref_id", "left_semi")
+        found.append(few.join(tokens, "path").join(named, ["name", "_base"]).where(fits).select(*keep))
+        left = left.join(via.select("ref_id"), "ref_id", "left_anti")
     else:
         found.append(None)
     # rung 2: the same directory; rung 3: anywhere
@@ -164,13 +170,33 @@ def siblings(nodes: DataFrame) -> DataFrame:
     return some.join(first, "fqn").where("id <> src").select("src", F.col("id").alias("dst"))
 
 
+def _entity(label: str = "label") -> Column:
+    return F.concat(F.col("type"), F.lit(":"), F.lower(F.trim(label)))
+
+
 def merge_entities(nodes: DataFrame) -> DataFrame:
     """canonical, id: nodes of one type and label (lower-case, trimmed) are one; the first by id stands for them."""
-    key = F.concat(F.col("type"), F.lit(":"), F.lower(F.trim("label")))
-    keyed = nodes.select("id", key.alias("key"))
+    keyed = nodes.select("id", _entity().alias("key"))
     return keyed.join(keyed.groupBy("key").agg(F.min("id").alias("canonical")), "key").select("canonical", "id")
 
 
+def merged_nodes(nodes: DataFrame) -> DataFrame:
+    """id, type, label, confidence of the entities: the first node by id, with the largest confidence of all that are one with it."""
+    best = nodes.groupBy(_entity().alias("key")).agg(F.min_by(F.struct("id", "type", "label"), "id").alias("n"), F.max("confidence").alias("confidence"))
+    return best.select("n.id", "n.type", "n.label", "confidence")
+
+
+def merged_provenance(provenance: DataFrame, merged: DataFrame) -> DataFrame:
+    """``provenance`` (entity_id, artifact_id, line, text_span) under canonical ids; one row an artifact, line and span of each."""
+    named = provenance.join(merged.withColumnRenamed("id", "entity_id"), "entity_id").drop("entity_id").withColumnRenamed("canonical", "entity_id")
+    return named.groupBy("entity_id", "artifact_id", "line", "text_span").agg(*[F.min(c).alias(c) for c in named.columns if c not in ("entity_id", "artifact_id", "line", "text_span")])
+
+
+def build_graph(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Entities, and the edges between them, of all parts' nodes and edges."""
+    return merged_nodes(nodes), remap_edges(edges, merge_entities(nodes))
+
+
 def remap_edges(edges: DataFrame, merged: DataFrame) -> DataFrame:
     """src, dst, type between canonical nodes, each once; no self-links, no unknown ends."""
     out = edges.join(merged.select(F.col("id").alias("src"), F.col("canonical").alias("s")), "src").join(merged.select(F.col("id").alias("dst"), F.col("canonical").alias("t")), "dst")

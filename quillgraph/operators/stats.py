@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 #: Target shares of the question categories, and how far a share may be off.
 TARGETS = {"GRAPH_HEAVY": 0.60, "NEUTRAL": 0.25, "NEGATIVE_CONTROL": 0.15}
 TOLERANCE = 0.20
+#: Windows in a stretch of time.
+STRETCH = 64
 
 
 def summarize(rows: DataFrame, metric: str, *by: str) -> DataFrame:
@@ -45,9 +47,13 @@ def subsample(ids: DataFrame, key: str, share: float = 0.2) -> DataFrame:
     return distinct.orderBy("_h").limit(-int(-n * share // 1)).select(key)
 
 
+#: An element of an answer is a source file and a line.
+ELEMENT = r"[\w./-]+\.(?:java|kt|ts|tsx|js|jsx|go):\d+"
+
+
 def answer_set(answer: Column) -> Column:
     """Distinct path:line elements of an answer, without leading ./"""
-    found = F.regexp_extract_all(answer, F.lit(r"[\w./-]+\.(?:java|kt|tsx|ts|jsx|js|go):\d+"), F.lit(0))
+    found = F.regexp_extract_all(answer, F.lit(ELEMENT), F.lit(0))
     return F.array_distinct(F.transform(found, lambda e: F.regexp_replace(e, r"^\./", "")))
 
 
@@ -86,8 +92,17 @@ def audit_categories(questions: DataFrame, tolerance: float = TOLERANCE) -> Data
 
 
 def rate_window(events: DataFrame, ts: str, key: str, seconds: int = 60) -> DataFrame:
-    """Adds ``in_window``: events of the key in the ``seconds`` up to each event, itself included."""
-    return events.withColumn("_s", F.unix_micros(F.col(ts).cast("timestamp"))).withColumn("in_window", F.count("*").over(Window.partitionBy(key).orderBy("_s").rangeBetween(-seconds * 1_000_000, 0))).drop("_s")
+    """Adds ``in_window``: events of the key in the ``seconds`` up to each event, itself included.
+
+    Time is cut into stretches of ``STRETCH`` windows, so that a busy key is many tasks' work; an event is also seen by the next
+    stretch if its window may reach there. Events without a time count as one stretch.
+    """
+    span = seconds * 1_000_000
+    at = events.withColumn("_s", F.unix_micros(F.col(ts).cast("timestamp"))).withColumn("_own", F.floor(F.col("_s") / (span * STRETCH)))
+    near = (F.floor((F.col("_s") + span) / (span * STRETCH)) > F.col("_own")) & F.col("_s").isNotNull()
+    both = at.withColumn("_seen", F.explode(F.when(near, F.array(F.col("_own"), F.col("_own") + 1)).otherwise(F.array("_own"))))
+    within = Window.partitionBy(key, "_seen").orderBy("_s").rangeBetween(-span, 0)
+    return both.withColumn("in_window", F.count("*").over(within)).where(F.col("_own").eqNullSafe(F.col("_seen"))).drop("_s", "_own", "_seen")
 
 
 def file_ranking(lines: DataFrame, tokens: list[str]) -> DataFrame:
@@ -98,29 +113,45 @@ def file_ranking(lines: DataFrame, tokens: list[str]) -> DataFrame:
     return lines.where(F.col("line").rlike(rf"(?<!\w)(?:{words})(?!\w)")).groupBy("file").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "file")
 
 
-def derive_tokens(question: str) -> list[str]:
-    """Search words of a question: quoted phrases, code-shaped words with their parts, numbers of two digits or more."""
-    import re
+#: What a question's search words look like, and abbreviations that are none.
+QUOTED = r"[\"`]([^\"`]{2,})[\"`]"
+CODE_WORD = r"[A-Za-z_][A-Za-z0-9_./-]*"
+NUMBER = r"(?<![\w.])\d{2,}(?![\w.])"
+ABBREVIATIONS = ["e.g", "i.e", "etc"]
+LEAST_LENGTH = 3
+
 
-    out: dict[str, None] = {}
-
-    def add(word: str) -> None:
-        if len(word) >= 3 and word.lower() not in ("e.g", "i.e", "etc") and (set("_./") & set(word) or any(c.isupper() for c in word[1:])):
-            out[word] = None
-
-    for phrase in re.findall(r'["`]([^"`]{2,})["`]', question):
-        if len(phrase.strip()) >= 3:
-            out[phrase.strip()] = None
-    for word in re.findall(r"[A-Za-z_][A-Za-z0-9_./-]*", question):
-        word = word.strip("./-")
-        add(word)
-        segments = [s.strip("-") for s in word.split("/")] if "/" in word else [word]
-        for segment in segments:
-            if "/" in word:
-                add(segment)
-            if "." in segment:
-                for part in segment.split("."):
-                    add(part.strip("-"))
-    for number in re.findall(r"(?<![\w.])\d{2,}(?![\w.])", question):
-        out[number] = None
-    return list(out)
+def derive_tokens(question: Column) -> Column:
+    """Search words of a question, each once: quoted phrases, code-shaped words, numbers of two digits or more.
+
+    A word stands for itself, for the segments of its path, and for the parts of these between dots. It is code-shaped
+    if it has an underscore, dot, slash or a capital after its first character.
+    """
+    phrases = F.filter(F.transform(F.regexp_extract_all(question, F.lit(QUOTED), F.lit(1)), F.trim), lambda p: F.length(p) >= LEAST_LENGTH)
+
+    def bare(w: Column, ends: str) -> Column:
+        return F.regexp_replace(w, f"^[{ends}]+|[{ends}]+$", "")
+
+    def parts(segment: Column) -> Column:
+        return F.concat(F.array(segment), F.transform(F.split(segment, r"\."), lambda p: bare(p, "-")))
+
+    words = F.transform(F.regexp_extract_all(question, F.lit(CODE_WORD), F.lit(0)), lambda w: bare(w, "./-"))
+    each = F.flatten(F.transform(words, lambda w: F.concat(F.array(w), F.flatten(F.transform(F.split(w, "/"), lambda g: parts(bare(g, "-")))))))
+    shaped = F.filter(each, lambda w: (F.length(w) >= LEAST_LENGTH) & ~F.lower(w).isin(ABBREVIATIONS) & w.rlike(r"[_./]|^.+\p{Lu}"))
+    return F.array_distinct(F.concat(phrases, shaped, F.regexp_extract_all(question, F.lit(NUMBER), F.lit(0))))
+
+
+def retrieval_summary(scores: DataFrame, ks: list[str]) -> DataFrame:
+    """section, name, ranker, measured, and the means of ``ks`` of scores(repo, category, ranker, ...): a row for each measured side.
+
+    Sections: headline (all but the negative controls), negative, category and repo. A question that a ranker did not
+    measure has no row and is not in its means.
+    """
+    negative = F.col("category") == "NEGATIVE_CONTROL"
+    place = F.array(
+        F.struct(F.when(negative, "negative").otherwise("headline").alias("section"), F.lit("").alias("name")),
+        F.struct(F.lit("category").alias("section"), F.col("category").alias("name")),
+        F.struct(F.lit("repo").alias("section"), F.col("repo").alias("name")),
+    )
+    each = scores.select(F.explode(place).alias("at"), "ranker", *ks)
+    return each.groupBy("at.section", "at.name", "ranker").agg(F.count("*").alias("measured"), *[F.avg(k).alias(k) for k in ks])

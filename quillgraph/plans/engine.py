@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions import text as t
 from quillgraph.operators import graph as g
+from quillgraph.operators import modules as m
 from quillgraph.operators import search as s
+from quillgraph.operators.iterate import settle
+from quillgraph.sources import files as f
 from quillgraph.sources.store import Store
 
 #: Node types that answer each kind of question.
@@ -18,18 +21,36 @@ WANTED = {"DEVELOPER": ["Function", "Method", "Class", "Interface", "Module", "C
 EXPLORE_FLOOR, EXPLORE_BUDGET, EXPLORE_SYMBOLS, EDGE_CAP = 0.80, 15_000, 40, 20
 
 
+INCOMPLETE = "... {more} more not shown (showing {shown} of {total}) -- raise 'limit' to see the rest. This list is INCOMPLETE."
+
+
 @dataclass
 class Bundle:
     nodes: DataFrame
     edges: DataFrame
     evidence: DataFrame
 
+    def average_confidence(self) -> float:
+        """Of the nodes; 0 where there are none."""
+        return self.nodes.agg(F.coalesce(F.avg("confidence"), F.lit(0.0))).first()[0]
+
+
+@dataclass
+class Explored:
+    """modules(rank, id, name, path, description, score, method) and symbols(rank, id, label, type, path, line, line_end, score, full, used, source, edges, blast_radius)."""
+
+    modules: DataFrame
+    symbols: DataFrame
+
 
 class Engine:
-    def __init__(self, store: Store):
-        self.spark = store.spark
+    """``root``: where the indexed files lie, for the text of symbols."""
+
+    def __init__(self, store: Store, root: str | None = None):
+        self.spark, self.root = store.spark, root
         self.nodes = store.read("nodes")
-        self.edges = g.drop_dangling(self.nodes, store.read("edges"))
+        # joined once, not in each round of a loop
+        self.edges = settle(g.drop_dangling(self.nodes, store.read("edges")))
         self.provenance = store.read("provenance")
         self.artifacts = store.read("artifacts")
 
@@ -70,24 +91,64 @@ class Engine:
     def blast_radius(self, ident: str, floor: float = 0.0, max_depth: int = 3, max_nodes: int = 50) -> DataFrame:
         return g.blast_radius(self.nodes, self.edges, self.node(ident), floor, max_depth, max_nodes)
 
-    def explore(self, question: str, budget: int = EXPLORE_BUDGET) -> DataFrame:
-        """Symbols for a question, the best first, each with its edges and dependents, in full as far as the budget goes."""
+    def ranked_files(self, question: str) -> DataFrame:
+        """file, position: the distinct files of the evidence of ``build_context``, in its order."""
+        told = self.build_context(question).evidence
+        order = F.struct("position", F.coalesce("line", F.lit(0)), "path")
+        first = told.groupBy(F.col("path").alias("file")).agg(F.min(order).alias("at"))
+        return first.select("file", F.row_number().over(Window.orderBy("at")).alias("position"))
+
+    def modules(self) -> DataFrame:
+        """id, path, name, build_system, parent_id."""
+        return m.read_tree(self.nodes)
+
+    def explore(self, question: str, budget: int = EXPLORE_BUDGET, similar: DataFrame | None = None) -> Explored:
+        """Modules and symbols for a question, the best first; symbols with source, edges and dependents as far as the budget goes.
+
+        ``similar`` (id, score): modules that an embedding finds, before those that words find.
+        """
         tokens = self.spark.range(1).select(t.question_tokens(F.lit(question))).first()[0]
-        symbols = self.nodes.where(t.is_symbol(F.col("id"), F.col("type")))
+        tree = self.modules().withColumn("description", F.lit(None).cast("string")).select("id", "name", "path", "description")
+        modules = settle(s.match_modules(tree, tokens, similar)) if tokens else tree.withColumn("score", F.lit(0.0)).withColumn("method", F.lit("")).withColumn("rank", F.lit(0)).where("false")
         if not tokens:
-            return symbols.where("false").select("id")
-        found = s.top_per_term(symbols, tokens, limit=EXPLORE_SYMBOLS)
-        score = t.symbol_score(F.col("confidence"), F.array(*[F.lit(w) for w in tokens]), F.col("label"), F.lit(False))
-        ranked = symbols.join(found.select("id"), "id", "left_semi").withColumn("score", score)
-        ranked = ranked.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
-        hits = g.blast_radius(self.nodes, self.edges, ranked, EXPLORE_FLOOR).groupBy(F.col("seed").alias("id")).agg(F.array_sort(F.collect_list(F.struct("hops", "node_id"))).alias("blast_radius"))
-        ends = self.edges.select(F.explode(F.array(F.struct(F.col("src").alias("id"), F.lit(0).alias("into"), F.col("type"), F.col("dst").alias("other")), F.struct(F.col("dst").alias("id"), F.lit(1).alias("into"), F.col("type"), F.col("src").alias("other")))).alias("e")).select("e.*")
-        ends = ends.join(ranked.select("id"), "id", "left_semi").withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("into", "type", "other"))).where(F.col("n") <= EDGE_CAP)
-        views = ends.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "type", "other"))).alias("edges"))
-        full = ranked.join(views, "id", "left").join(hits, "id", "left")
-        cost = full.withColumn("cost", t.token_cost(F.to_json(F.struct("id", "label", "edges", "blast_radius")))).withColumn("brief", t.token_cost(F.to_json(F.struct("id", "label")))).withColumn("one", F.lit(1))
+            none = self.nodes.where("false").select(F.lit(0).alias("rank"), "id", "label", "type")
+            return Explored(modules, none)
+        within = [r.path for r in modules.select("path").collect()]  # five at most
+        ranked = settle(s.match_symbols(self.nodes, tokens, within, limit=EXPLORE_SYMBOLS))
+        seeds = ranked.select("id")
+        hits = g.blast_radius(self.nodes, self.edges, seeds, EXPLORE_FLOOR).groupBy(F.col("seed").alias("id")).agg(F.array_sort(F.collect_list(F.struct("hops", "node_id"))).alias("blast_radius"))
+        ends = self.edges.select(F.explode(F.array(F.struct(F.col("src").alias("id"), F.lit(0).alias("into"), F.col("type"), F.col("dst").alias("other"), "confidence"), F.struct(F.col("dst").alias("id"), F.lit(1).alias("into"), F.col("type"), F.col("src").alias("other"), "confidence"))).alias("e")).select("e.*")
+        ends = ends.join(F.broadcast(seeds), "id", "left_semi").withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("into", "type", "other"))).where(F.col("n") <= EDGE_CAP)
+        views = ends.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "type", "other", "confidence"))).alias("edges"))
+        # the bundle is forty symbols at most: its parts meet in one small table
+        full = ranked.join(views, "id", "left").join(hits, "id", "left").join(self._sources(ranked), "id", "left")
+        empty = F.greatest(F.coalesce(F.size("edges"), F.lit(0)), F.lit(0)), F.greatest(F.coalesce(F.size("blast_radius"), F.lit(0)), F.lit(0))
+        chars = F.coalesce(F.length("source"), F.lit(0)) + F.length("label") + 60 + 40 * (empty[0] + empty[1])
+        brief = F.length("label") + F.coalesce(F.length("path"), F.lit(0)) + 30
+        cost = full.withColumn("cost", F.greatest(F.floor(chars / 4), F.lit(1)).cast("long")).withColumn("brief", F.greatest(F.floor(brief / 4), F.lit(1)).cast("long")).withColumn("one", F.lit(1))
         packed = t.pack_budget(cost, budget, "one", "rank", "cost", "brief")
-        return packed.select("rank", "id", "label", "type", "score", "full", "used", F.when(F.col("full"), F.col("edges")).alias("edges"), F.when(F.col("full"), F.col("blast_radius")).alias("blast_radius"))
+        shown = [F.when(F.col("full"), F.col(c)).alias(c) for c in ("source", "edges", "blast_radius")]
+        return Explored(modules, packed.select("rank", "id", "label", "type", "path", "line", "line_end", "score", "full", "used", *shown))
+
+    def _sources(self, symbols: DataFrame) -> DataFrame:
+        """id, source: the lines of symbols(id, path, line, line_end) as they stand in their files."""
+        if self.root is None:
+            return symbols.select("id", F.lit(None).cast("string").alias("source"))
+        text = f.read_text(self.spark, self.root, symbols)
+        return symbols.select("id", "path", "line", "line_end").join(text, "path").select("id", t.slice_lines(F.col("content"), F.col("line"), F.col("line_end")).alias("source"))
+
+    def render(self, nodes: DataFrame, limit: int = 30, total: int | None = None) -> str:
+        """The first ``limit`` of nodes(position, id, label, type), each with its place, and how many are not shown."""
+        place = self.provenance.groupBy(F.col("entity_id").alias("id")).agg(F.min(F.struct("path", "line", "line_end")).alias("at"))
+        total = nodes.count() if total is None else total
+        rows = nodes.orderBy("position").limit(limit).join(place, "id", "left").orderBy("position").collect()
+        out = []
+        for r in rows:
+            lines = "-".join(dict.fromkeys(str(x) for x in (r["at"].line, r["at"].line_end) if x is not None)) if r["at"] else ""
+            out.append(f"[{r.type}] {r.label}\n  id={r.id}" + (f"\n  at {r['at'].path}{':' + lines if lines else ''}" if r["at"] else ""))
+        if total > len(rows):
+            out.append(INCOMPLETE.format(more=total - len(rows), shown=len(rows), total=total))
+        return "\n".join(out)
 
     def report(self) -> str:
         """Markdown; only small aggregates come to the driver."""
@@ -109,8 +170,19 @@ class Engine:
             df.write.mode("overwrite").json(f"{path}/{name}")
 
     def html(self, limit: int = 500) -> str:
-        """A page with up to ``limit`` nodes of confidence 0.5 or more and the edges among them."""
+        """A page that draws up to ``limit`` nodes of confidence 0.5 or more, coloured by type, and the edges among them."""
         top = self.nodes.where("confidence >= 0.5").orderBy("id").limit(limit).select("id", F.left("label", F.lit(50)).alias("label"), "type")
         edges = g.induced(top, self.edges.where("confidence >= 0.5")).select("src", "dst", "type")
         data = json.dumps({"nodes": [r.asDict() for r in top.collect()], "edges": [r.asDict() for r in edges.collect()]}).replace("<", "\\u003c")
-        return f"<!DOCTYPE html><meta charset='utf-8'><title>Graph</title><pre id='g'></pre><script>const graph = {data};document.getElementById('g').textContent = graph.edges.map(e => `${{e.src}} -${{e.type}}-> ${{e.dst}}`).join('\\n');</script>"
+        return _PAGE.replace("DATA", data)
+
+
+_PAGE = """<!DOCTYPE html><meta charset='utf-8'><title>Graph</title><style>svg{width:100%;height:95vh}text{font:9px sans-serif}</style><svg viewBox='-520 -520 1040 1040'></svg><script>
+const graph = DATA, svg = document.querySelector('svg'), kinds = [...new Set(graph.nodes.map(n => n.type))].sort(), at = {};
+const colour = type => `hsl(${360 * kinds.indexOf(type) / kinds.length} 65% 50%)`;
+const add = (name, attributes, text) => { const e = document.createElementNS('http://www.w3.org/2000/svg', name); for (const k in attributes) e.setAttribute(k, attributes[k]); if (text) e.textContent = text; svg.append(e); };
+graph.nodes.sort((a, b) => a.type < b.type ? -1 : a.type > b.type ? 1 : 0).forEach((n, i) => { const t = 2 * Math.PI * i / graph.nodes.length; at[n.id] = [480 * Math.cos(t), 480 * Math.sin(t)]; });
+graph.edges.forEach(e => { const [a, b] = [at[e.src], at[e.dst]]; add('path', {d: `M${a}Q0 0 ${b}`, fill: 'none', stroke: '#999', 'stroke-opacity': .4}); });
+graph.nodes.forEach(n => { const [x, y] = at[n.id]; add('circle', {cx: x, cy: y, r: 4, fill: colour(n.type)}); add('text', {x: x + 5, y: y + 3}, n.label); });
+kinds.forEach((k, i) => add('text', {x: -515, y: -500 + 12 * i, fill: colour(k)}, k));
+</script>"""

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import fcntl
-import os
-from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillgraph.operators import modules as m
 from quillgraph.operators import resolve as r
 from quillgraph.operators.iterate import settle
 from quillgraph.sources import extract as x
@@ -27,22 +25,13 @@ class IndexStats:
     warnings: int
 
 
-@contextmanager
-def _locked(root: str):
-    """One writer at a time."""
-    os.makedirs(root, exist_ok=True)
-    with open(f"{root}/.lock", "w") as lock:
-        fcntl.flock(lock, fcntl.LOCK_EX)
-        yield
-
-
 def _document_rows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of Markdown, SQL and build files."""
+    """Nodes and edges of Markdown, SQL, build and configuration files and of documents with pages."""
     art = F.col("artifact_id")
     none = [F.lit(None).cast(t).alias(n) for n, t in (("fqn", "string"), ("kind", "string"), ("supertypes", "array<string>"), ("returns", "string"))]
 
     def node(df: DataFrame, ident, kind: str, label, confidence: float, line=F.lit(1)) -> DataFrame:
-        return df.select(ident.alias("id"), F.lit(kind).alias("type"), label.alias("label"), F.lit(confidence).alias("confidence"), *none, art.alias("path"), line.cast("int").alias("line"))
+        return df.select(ident.alias("id"), F.lit(kind).alias("type"), label.alias("label"), F.lit(confidence).alias("confidence"), *none, art.alias("path"), line.cast("int").alias("line"), F.lit(None).cast("int").alias("line_end"))
 
     def edge(df: DataFrame, kind: str, src, dst, name: str, confidence: float) -> DataFrame:
         return df.select(F.concat_ws(":", F.lit(name), src, dst).alias("id"), src.alias("src"), dst.alias("dst"), F.lit(kind).alias("type"), F.lit(confidence).alias("confidence"))
@@ -53,6 +42,14 @@ def _document_rows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     h, b, links, special = x.headings(md), x.bold_concepts(md), x.links(md), x.special_lines(md)
     tables, columns, keys = x.sql_tables(sql), x.sql_columns(sql), x.sql_foreign_keys(sql)
     deps, gdeps = x.package_json(package), x.gradle(gradle)
+    config = docs.where("type = 'ConfigFile'")
+    images = x.dockerfile(config.where("lower(path) rlike '(^|/)dockerfile([.][^/]*)?$'"))
+    services = x.compose_services(config.where("lower(path) rlike '(^|/)(docker-)?compose[^/]*[.]ya?ml$'"))
+    paged = docs.where("type in ('PDF', 'Document')")
+    pages, cited = x.page_sections(paged), x.section_citations(paged)
+    image, service = F.concat(F.lit("image:"), "image"), F.concat(F.lit("service:"), "service")
+    cite = F.concat(F.lit("citation:"), art, F.lit(":"), F.col("citation"))
+    page = F.concat(F.lit("section:"), art, F.lit(":"), F.col("label"))
     section = F.concat(F.lit("section:"), art, F.lit(":"), F.col("label"))
     parent = F.when(F.col("parent").isNull(), file).otherwise(F.concat(F.lit("section:"), art, F.lit(":"), F.col("parent")))
     concept = F.concat(F.lit("concept:"), F.lower(F.regexp_replace("label", r"\s+", "_")))
@@ -62,24 +59,32 @@ def _document_rows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     dep = F.concat(F.when(F.col("kind") == "script", F.concat(F.lit("script:"), art, F.lit(":"))).when(F.col("kind") == "project", F.lit("gradle-project:")).otherwise(F.lit("dep:")), F.col("name"))
     pkg = F.concat(F.lit("file:"), art)
     nodes = [
-        node(docs.where("type in ('MarkdownFile', 'DatabaseSchema', 'PackageFile')"), file, "File", F.substring_index("path", "/", -1), 1.0),
+        node(docs.where("type in ('MarkdownFile', 'DatabaseSchema', 'PackageFile', 'ConfigFile', 'PDF', 'Document')"), file, "File", F.substring_index("path", "/", -1), 1.0),
         node(h, section, "Concept", F.col("label"), x.HEADING, F.col("idx") + 1),
         node(b, concept, "Concept", F.col("label"), x.CONCEPT),
         node(links, F.concat(F.lit("link:"), "destination"), "Document", F.col("destination"), x.CONCEPT),
         node(special.where("type = 'Decision'"), F.concat(F.lit("decision:"), art, F.lit(":"), "idx"), "Decision", F.col("label"), x.HEADING, F.col("idx") + 1),
         node(special.where("type = 'Requirement'"), F.concat(F.lit("requirement:"), art, F.lit(":"), "idx"), "Requirement", F.col("label"), x.CONCEPT, F.col("idx") + 1),
-        node(tables, table, "Table", F.col("table"), 1.0),
-        node(columns, column, "Column", F.col("column"), 1.0),
+        node(tables, table, "Table", F.col("table"), x.SQL_PATTERN),
+        node(columns, column, "Column", F.col("column"), x.SQL_PATTERN),
+        node(images, image, "Component", F.col("image"), x.DEPENDENCY),
+        node(services, service, "Component", F.col("service"), x.DEPENDENCY),
+        node(pages, page, "Concept", F.col("label"), x.SECTION, F.col("idx") + 1),
+        node(cited.select("artifact_id", "citation").distinct(), cite, "Claim", F.col("citation"), x.CONCEPT),
         node(deps.union(gdeps).where("kind <> 'script'"), dep, "Module", F.col("name"), x.DEPENDENCY),
         node(deps.where("kind = 'script'"), dep, "Function", F.col("name"), x.DEPENDENCY),
     ]
     edges = [
         edge(h, "contains", parent, section, "contains", x.HEADING),
         edge(b, "defines", file, concept, "defines", x.CONCEPT),
-        edge(links, "references", file, F.concat(F.lit("link:"), "destination"), "references", x.CONCEPT),
-        edge(tables, "contains", file, table, "contains", 1.0),
-        edge(columns, "contains", table, column, "contains", 1.0),
-        edge(keys, "depends_on", table, target, "fk", 0.99),
+        edge(x.section_links(md), "references", F.when(F.col("label").isNull(), file).otherwise(section), F.concat(F.lit("link:"), "destination"), "references", x.CONCEPT),
+        edge(tables, "contains", file, table, "contains", x.SQL_PATTERN),
+        edge(columns, "contains", table, column, "contains", x.SQL_PATTERN),
+        edge(images, "uses", file, image, "uses", x.DEPENDENCY),
+        edge(services, "contains", file, service, "contains", x.DEPENDENCY),
+        edge(pages, "contains", file, page, "contains", x.SECTION),
+        edge(cited, "cites", F.when(F.col("label").isNull(), file).otherwise(page), cite, "cites", x.CONCEPT),
+        edge(keys, "depends_on", table, target, "fk", x.SQL_PATTERN),
         edge(deps.union(gdeps).where("kind <> 'script'"), "depends_on", pkg, dep, "depends", x.DEPENDENCY),
         edge(deps.where("kind = 'script'"), "contains", pkg, dep, "contains", x.DEPENDENCY),
     ]
@@ -95,7 +100,7 @@ def _document_rows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def index(spark: SparkSession, root: str, store: Store, config: f.Config | None = None, purge: bool = True) -> IndexStats:
     """Brings the store up to date with the files below ``root``. ``purge``: files that are gone leave the graph."""
-    with _locked(store.root):
+    with store.locked():
         now = settle(f.read_files(spark, root, config))
         old = store.read("artifacts") if store.exists() else None
         state = f.changes(now, old if old is not None else now.where("false"))
@@ -104,17 +109,24 @@ def index(spark: SparkSession, root: str, store: Store, config: f.Config | None
         rows = settle(grammars.extract(todo.where("type in ('CodeFile', 'TestFile')")))
         nodes, edges, refs, warnings = grammars.split(rows)
         doc_nodes, doc_edges = _document_rows(todo.withColumn("artifact_id", F.col("path")))
-        nodes, edges = nodes.unionByName(doc_nodes), edges.unionByName(doc_edges)
-        provenance = nodes.select(F.col("path").alias("artifact_id"), F.col("id").alias("entity_id"), F.lit("node").alias("entity_kind"), "path", "line")
+        nodes, edges = nodes.unionByName(doc_nodes).dropDuplicates(["id"]), edges.unionByName(doc_edges)
+        nodes = nodes.withColumn("properties", F.to_json(F.struct("fqn", "kind", "returns", "supertypes")))
+        provenance = nodes.select(F.col("path").alias("artifact_id"), F.col("id").alias("entity_id"), F.lit("node").alias("entity_kind"), "path", "line", "line_end")
         edges = edges.withColumn("rung", F.lit(None).cast("string")).withColumn("lines", F.lit(None).cast("array<int>"))
         if old is not None:
             gone = state.where("state = 'changed'" + (" or state = 'removed'" if purge else "")).select(F.col("path").alias("artifact_id"))
             n, e, p = f.replace_artifacts(store.read("nodes"), store.read("edges"), store.read("provenance"), gone)
             keep = gone.withColumnRenamed("artifact_id", "path")
-            nodes, provenance = n.unionByName(nodes).dropDuplicates(["id"]), p.unionByName(provenance)
+            n = n.where("type <> 'CodeModule'")
+            nodes, provenance = n.unionByName(nodes, allowMissingColumns=True).dropDuplicates(["id"]), p.unionByName(provenance, allowMissingColumns=True)
             edges = e.where("type not in ('calls', 'implements', 'sibling_of')").unionByName(edges).dropDuplicates(["id"])
             refs = store.read("refs").join(keep, "path", "left_anti").unionByName(refs)
             warnings = store.read("diagnostics").join(keep, "path", "left_anti").unionByName(warnings)
+        roots = config.module_roots if config else None
+        modules = settle(m.detect(now.select("path", "content"), roots))  # anew from all files, as one file may change what others are
+        nodes = nodes.unionByName(m.as_nodes(modules), allowMissingColumns=True)
+        held = modules.where("parent_id is not null").select(F.concat_ws(":", F.lit("contains"), "parent_id", "id").alias("id"), F.col("parent_id").alias("src"), F.col("id").alias("dst"), F.lit("contains").alias("type"), F.lit(1.0).alias("confidence"))
+        edges = edges.where("src not like 'module:%'").unionByName(held, allowMissingColumns=True)
         nodes, edges, refs = settle(nodes), settle(edges), settle(refs)
         edges = edges.unionByName(derive(nodes, edges, refs))
         arts = now.select("id", "type", "path", "checksum", "size")

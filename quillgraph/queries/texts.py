@@ -66,8 +66,7 @@ s as (select id, source, round(sum((case when ln((n - df + 0.5) / (df + 0.5)) <=
 
 def _bm25(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "source", "text")
-    asked = spark.createDataFrame([(0, w) for w in ("onenth", "thnd", "the", "reanti")], "qid int, term string")
-    scored = s.bm25(s.postings(docs, F.col("text")), s.corpus_totals(docs, F.col("text")), asked)
+    scored = s.bm25(*s.matches(docs, F.col("text"), [(0, w) for w in ("onenth", "thnd", "the", "reanti")]))
     return scored.select("id", F.round("score", 6).alias("score"))
 
 

@@ -5,7 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HEADING, CONCEPT, SECTION, DEPENDENCY = 0.95, 0.75, 0.80, 0.95
+HEADING, CONCEPT, SECTION, DEPENDENCY, SQL_PATTERN = 0.95, 0.75, 0.80, 0.95, 0.85
+
+#: The patterns of what is extracted.
+HEADING_LINE = r"^(#{1,6})\s+(.*?)\s*#*\s*$"
+LINK = r"\[[^\]]*\]\(([^)\s]+)[^)]*\)"
+BOLD = r"\*\*([^*\n]+)\*\*"
+CHECKBOX = r"^-\s+\[[ x]\]\s+.+"
+REQUIREMENT = r"\b(MUST|SHALL|REQUIRED|SHOULD|RECOMMENDED)\b"
+CITATION = r"\[\d+\]|\[[A-Z][a-z]+(?:\s+et\s+al\.?)?,\s*\d{4}\]"
+CREATE_TABLE = r"(?i)CREATE\s+TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?[`\"]?(\w+)[`\"]?"
+FOREIGN_KEY = r"(?i)FOREIGN\s+KEY\s*\([^)]*\)\s*REFERENCES\s+[`\"]?(\w+)"
+BUILD_DEPENDENCY = r"(?:implementation|api|testImplementation|runtimeOnly|compileOnly)\s*\(?[\"']([^\"']+)[\"']"
+BUILD_PROJECT = r"project\([\"']:([^\"']+)[\"']\)"
+FROM_LINE = r"(?m)^FROM\s+(\S+)"
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -18,7 +31,7 @@ def headings(docs: DataFrame) -> DataFrame:
 
     The parent of level n is the last heading of a lower level; one running maximum a level finds it without a self-join.
     """
-    found = lines(docs).select("artifact_id", "idx", F.regexp_extract("line", r"^(#{1,6})\s+(.*?)\s*#*\s*$", 1).alias("marks"), F.regexp_extract("line", r"^(#{1,6})\s+(.*?)\s*#*\s*$", 2).alias("label"))
+    found = lines(docs).select("artifact_id", "idx", F.regexp_extract("line", HEADING_LINE, 1).alias("marks"), F.regexp_extract("line", HEADING_LINE, 2).alias("label"))
     found = found.where("marks <> ''").select("artifact_id", "idx", F.length("marks").alias("level"), "label")
     before = Window.partitionBy("artifact_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
     for n in range(2, 7):
@@ -32,13 +45,27 @@ def headings(docs: DataFrame) -> DataFrame:
 
 def links(docs: DataFrame) -> DataFrame:
     """artifact_id, destination of inline links that lead out of the document; each once."""
-    out = docs.select("artifact_id", F.explode(F.regexp_extract_all("content", F.lit(r"\[[^\]]*\]\(([^)\s]+)[^)]*\)"), F.lit(1))).alias("destination"))
+    out = docs.select("artifact_id", F.explode(F.regexp_extract_all("content", F.lit(LINK), F.lit(1))).alias("destination"))
     return out.where(~F.col("destination").startswith("#")).distinct()
 
 
+def section_links(docs: DataFrame) -> DataFrame:
+    """artifact_id, destination, label of the nearest heading above (null if there is none); each once."""
+    out = _below(docs, F.nullif(F.regexp_extract("line", HEADING_LINE, 2), F.lit("")), LINK, 1, "destination")
+    return out.where(~F.col("destination").startswith("#")).distinct()
+
+
+def _below(docs: DataFrame, heading: Column, pattern: str, group: int, name: str) -> DataFrame:
+    """artifact_id, what ``pattern`` finds, label of the nearest heading above or on its line."""
+    rows = lines(docs).select("artifact_id", "idx", heading.alias("h"), F.regexp_extract_all("line", F.lit(pattern), F.lit(group)).alias("found"))
+    rows = rows.where(F.col("h").isNotNull() | (F.size("found") > 0))  # other lines need no window
+    above = F.last("h", ignorenulls=True).over(Window.partitionBy("artifact_id").orderBy("idx"))
+    return rows.withColumn("label", above).select("artifact_id", F.explode("found").alias(name), "label")
+
+
 def bold_concepts(docs: DataFrame) -> DataFrame:
     """artifact_id, label of strong passages of more than three characters and at least two words; each once."""
-    out = docs.select("artifact_id", F.explode(F.regexp_extract_all("content", F.lit(r"\*\*([^*\n]+)\*\*"), F.lit(1))).alias("label"))
+    out = docs.select("artifact_id", F.explode(F.regexp_extract_all("content", F.lit(BOLD), F.lit(1))).alias("label"))
     return out.where((F.length("label") > 3) & (F.size(F.split(F.trim("label"), r"\s+")) >= 2)).distinct()
 
 
@@ -46,8 +73,8 @@ def special_lines(docs: DataFrame) -> DataFrame:
     """artifact_id, idx, type, label of decisions, checkboxes and lines with a requirement word; the first kind that fits."""
     cut = F.trim("line")
     decision = cut.startswith("## Decision:") | cut.startswith("### Decision:")
-    box = cut.rlike(r"^-\s+\[[ x]\]\s+.+")
-    must = cut.rlike(r"\b(MUST|SHALL|REQUIRED|SHOULD|RECOMMENDED)\b")
+    box = cut.rlike(CHECKBOX)
+    must = cut.rlike(REQUIREMENT)
     kind = F.when(decision, "Decision").when(box | must, "Requirement")
     label = F.when(decision, F.trim(F.regexp_replace(cut, r"^[^:]*:", ""))).when(box, F.regexp_replace(cut, r"^-\s+\[[ x]\]\s+", "")).otherwise(F.left(cut, F.lit(120)))
     return lines(docs).select("artifact_id", "idx", kind.alias("type"), label.alias("label")).where("type is not null and label <> ''")
@@ -65,24 +92,27 @@ def page_sections(docs: DataFrame) -> DataFrame:
     return lines(docs).where(looks_like_heading(F.col("line"))).select("artifact_id", "idx", F.trim("line").alias("label"))
 
 
+def section_citations(docs: DataFrame) -> DataFrame:
+    """artifact_id, citation, label of the nearest page heading above (null if there is none); each once."""
+    heading = F.when(looks_like_heading(F.col("line")), F.trim("line"))
+    return _below(docs, heading, CITATION, 0, "citation").distinct()
+
+
 def citations(docs: DataFrame) -> DataFrame:
     """artifact_id, citation like [12] or [Name et al., 2020]; each once."""
-    found = F.regexp_extract_all("content", F.lit(r"\[\d+\]|\[[A-Z][a-z]+(?:\s+et\s+al\.?)?,\s*\d{4}\]"), F.lit(0))
+    found = F.regexp_extract_all("content", F.lit(CITATION), F.lit(0))
     return docs.select("artifact_id", F.explode(found).alias("citation")).distinct()
 
 
-_TABLE = r"(?i)CREATE\s+TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?[`\"]?(\w+)[`\"]?"
-
-
 def sql_tables(docs: DataFrame) -> DataFrame:
-    return docs.select("artifact_id", F.explode(F.regexp_extract_all("content", F.lit(_TABLE), F.lit(1))).alias("table")).distinct()
+    return docs.select("artifact_id", F.explode(F.regexp_extract_all("content", F.lit(CREATE_TABLE), F.lit(1))).alias("table")).distinct()
 
 
 def sql_columns(docs: DataFrame) -> DataFrame:
     """artifact_id, table, column, kind of simple CREATE TABLE statements; constraints are no columns."""
-    body = F.regexp_extract_all("content", F.lit(_TABLE + r"\s*\(((?:[^();]|\([^()]*\))*)\)"), F.lit(0))
+    body = F.regexp_extract_all("content", F.lit(CREATE_TABLE + r"\s*\(((?:[^();]|\([^()]*\))*)\)"), F.lit(0))
     each = docs.select("artifact_id", F.explode(body).alias("b"))
-    each = each.select("artifact_id", F.regexp_extract("b", _TABLE, 1).alias("table"), F.regexp_replace("b", r"(?s)^[^(]*\(|\)$", "").alias("inner"))
+    each = each.select("artifact_id", F.regexp_extract("b", CREATE_TABLE, 1).alias("table"), F.regexp_replace("b", r"(?s)^[^(]*\(|\)$", "").alias("inner"))
     part = each.select("artifact_id", "table", F.posexplode(F.split("inner", r",(?![^(]*\))")).alias("pos", "p")).withColumn("p", F.trim(F.regexp_replace("p", r"\s+", " ")))
     kept = part.where(~F.col("p").rlike(r"(?i)^(primary|foreign|unique|constraint|check|key|index)\b") & (F.col("p") != ""))
     return kept.select("artifact_id", "table", F.regexp_extract("p", r"^[`\"]?(\w+)[`\"]?", 1).alias("column"), F.lower(F.regexp_extract("p", r"^\S+\s+(\w+)", 1)).alias("kind"))
@@ -90,9 +120,9 @@ def sql_columns(docs: DataFrame) -> DataFrame:
 
 def sql_foreign_keys(docs: DataFrame) -> DataFrame:
     """artifact_id, table, target of table-level foreign keys."""
-    body = F.regexp_extract_all("content", F.lit(_TABLE + r"\s*\(((?:[^();]|\([^()]*\))*)\)"), F.lit(0))
-    each = docs.select("artifact_id", F.explode(body).alias("b")).select("artifact_id", F.regexp_extract("b", _TABLE, 1).alias("table"), "b")
-    return each.select("artifact_id", "table", F.explode(F.regexp_extract_all("b", F.lit(r"(?i)FOREIGN\s+KEY\s*\([^)]*\)\s*REFERENCES\s+[`\"]?(\w+)"), F.lit(1))).alias("target")).distinct()
+    body = F.regexp_extract_all("content", F.lit(CREATE_TABLE + r"\s*\(((?:[^();]|\([^()]*\))*)\)"), F.lit(0))
+    each = docs.select("artifact_id", F.explode(body).alias("b")).select("artifact_id", F.regexp_extract("b", CREATE_TABLE, 1).alias("table"), "b")
+    return each.select("artifact_id", "table", F.explode(F.regexp_extract_all("b", F.lit(FOREIGN_KEY), F.lit(1))).alias("target")).distinct()
 
 
 def package_json(docs: DataFrame) -> DataFrame:
@@ -110,15 +140,15 @@ def _named(key: str) -> Column:
 
 def gradle(docs: DataFrame) -> DataFrame:
     """artifact_id, kind (dependency or project), name."""
-    dep = F.regexp_extract_all("content", F.lit(r"(?:implementation|api|testImplementation|runtimeOnly|compileOnly)\s*\(?[\"']([^\"']+)[\"']"), F.lit(1))
-    project = F.regexp_extract_all("content", F.lit(r"project\([\"']:([^\"']+)[\"']\)"), F.lit(1))
+    dep = F.regexp_extract_all("content", F.lit(BUILD_DEPENDENCY), F.lit(1))
+    project = F.regexp_extract_all("content", F.lit(BUILD_PROJECT), F.lit(1))
     both = F.concat(F.transform(dep, lambda n: F.struct(F.lit("dependency").alias("kind"), F.replace(n, F.lit(":"), F.lit("_")).alias("name"))), F.transform(project, lambda n: F.struct(F.lit("project").alias("kind"), n.alias("name"))))
     return docs.select("artifact_id", F.explode(both).alias("x")).select("artifact_id", "x.kind", "x.name").distinct()
 
 
 def dockerfile(docs: DataFrame) -> DataFrame:
     """artifact_id, image."""
-    return docs.select("artifact_id", F.explode(F.regexp_extract_all("content", F.lit(r"(?m)^FROM\s+(\S+)"), F.lit(1))).alias("image")).distinct()
+    return docs.select("artifact_id", F.explode(F.regexp_extract_all("content", F.lit(FROM_LINE), F.lit(1))).alias("image")).distinct()
 
 
 def compose_services(docs: DataFrame) -> DataFrame:

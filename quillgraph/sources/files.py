@@ -20,23 +20,30 @@ PACKAGE_NAMES = [
     "package.json", "pom.xml", "build.gradle", "build.gradle.kts", "cargo.toml", "requirements.txt", "go.mod", "go.sum", "pyproject.toml",
     "setup.py", "setup.cfg", "gemfile", "composer.json", "package-lock.json", "yarn.lock",
 ]
+SQL_EXT, MARKDOWN_EXT, TEXT_EXT = ["sql", "ddl", "dml"], ["md", "mdx"], ["rst", "adoc", "txt"]
+IMAGE_EXT, DIAGRAM_EXT = ["png", "jpg", "jpeg", "gif", "svg", "webp"], ["drawio", "excalidraw", "mermaid"]
 SECRET_NAMES = [".env", ".env.local", ".env.production", ".env.staging"]
 SECRET_EXT = ["key", "pem", "p12", "pfx", "cert", "crt"]
 SECRET_NAME = r"secret|password|credentials|\.env(\..*)?$"
 
+EXCLUDED = [".git/**", "node_modules/**", "build/**", "target/**", ".gradle/**"]
 MAX_BYTES = 10 * 1024 * 1024
 
+#: Folders that the driver lists itself before the executors walk what lies below.
+LISTED = 64
+
 
 @dataclass
 class Config:
     """Settings of an index; unknown keys of a file are ignored."""
 
-    exclude: list[str] = field(default_factory=lambda: [".git/**", "node_modules/**", "build/**", "target/**", ".gradle/**"])
+    exclude: list[str] = field(default_factory=lambda: list(EXCLUDED))
     max_file_bytes: int = MAX_BYTES
     use_gitignore: bool = True
     llm_enabled: bool = False
     debounce_ms: int = 500
     rescan_seconds: int = 30
+    module_roots: list[dict] = field(default_factory=list)
 
     @classmethod
     def load(cls, path: str) -> Config:
@@ -66,11 +73,11 @@ def artifact_type(path: Column) -> Column:
         .when((name == "dockerfile") | name.startswith("dockerfile."), "ConfigFile")
         .when(name.isin(CONFIG_NAMES), "ConfigFile")
         .when(ext == "pdf", "PDF")
-        .when(ext.isin("sql", "ddl", "dml"), "DatabaseSchema")
-        .when(ext.isin("md", "mdx"), "MarkdownFile")
-        .when(ext.isin("rst", "adoc", "txt"), "Document")
-        .when(ext.isin("png", "jpg", "jpeg", "gif", "svg", "webp"), "Image")
-        .when(ext.isin("drawio", "excalidraw", "mermaid"), "Diagram")
+        .when(ext.isin(SQL_EXT), "DatabaseSchema")
+        .when(ext.isin(MARKDOWN_EXT), "MarkdownFile")
+        .when(ext.isin(TEXT_EXT), "Document")
+        .when(ext.isin(IMAGE_EXT), "Image")
+        .when(ext.isin(DIAGRAM_EXT), "Diagram")
         .when(code & (F.contains(name, F.lit("test")) | F.contains(name, F.lit("spec"))), "TestFile")
         .when(code, "CodeFile")
         .when(ext.isin(CONFIG_EXT), "ConfigFile")
@@ -104,22 +111,54 @@ def discover(spark: SparkSession, root: str, config: Config | None = None) -> Da
     if config.use_gitignore and os.path.isfile(f"{root}/.gitignore"):
         with open(f"{root}/.gitignore", errors="replace") as file:
             patterns += [line.strip() for line in file if line.strip() and not line.startswith("#")]
-    rows = []
-    for folder, folders, names in os.walk(root):
-        at = os.path.relpath(folder, root).replace(os.sep, "/")
-        at = "" if at == "." else at + "/"
-        folders[:] = sorted(f for f in folders if not _excluded(at + f, patterns))
-        for name in names:
-            try:
-                size = os.stat(f"{folder}/{name}").st_size
-            except OSError:
-                continue
-            if os.path.isfile(f"{folder}/{name}") and size <= config.max_file_bytes and not _excluded(at + name, patterns):
-                rows.append((at + name, size))
-    found = spark.createDataFrame(sorted(rows), "path string, size long")
+    base = os.path.abspath(root)
+    # the driver lists some folders, the executors walk the others
+    rows, queue = [], [""]
+    for _ in range(LISTED):
+        if not queue:
+            break
+        files, folders = _list(base, queue.pop(0), patterns, config.max_file_bytes)
+        rows += files
+        queue += folders
+    found = spark.createDataFrame(rows, "path string, size long")
+    if queue:
+
+        def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                for start in frame["folder"]:
+                    left = [start]
+                    while left:
+                        files, folders = _list(base, left.pop(), patterns, config.max_file_bytes)
+                        left += folders
+                        if files:
+                            yield pd.DataFrame(files, columns=["path", "size"])
+
+        below = spark.createDataFrame([(q,) for q in queue], "folder string").repartition(min(len(queue), 4 * spark.sparkContext.defaultParallelism), "folder")
+        found = found.union(below.mapInPandas(walk, "path string, size long"))
     return found.where(~is_secret(F.col("path")))
 
 
+def _list(base: str, folder: str, patterns: list[str], most: int) -> tuple[list[tuple[str, int]], list[str]]:
+    """Files (path, size) and folders directly in ``folder``, which is relative to ``base`` and ends with a slash unless empty."""
+    files, folders = [], []
+    try:
+        entries = sorted(os.scandir(f"{base}/{folder}"), key=lambda e: e.name)
+    except OSError:
+        return files, folders
+    for entry in entries:
+        path = folder + entry.name
+        try:
+            if _excluded(path, patterns):
+                continue
+            if entry.is_dir(follow_symlinks=False):
+                folders.append(path + "/")
+            elif entry.is_file() and (size := entry.stat().st_size) <= most:
+                files.append((path, size))
+        except OSError:
+            continue
+    return files, folders
+
+
 def read_files(spark: SparkSession, root: str, config: Config | None = None) -> DataFrame:
     """Artifacts with their content: id, type, path, checksum, size, content.
 
@@ -143,6 +182,24 @@ def read_files(spark: SparkSession, root: str, config: Config | None = None) ->
     return raw.select(F.col("path").alias("id"), artifact_type(F.col("path")).alias("type"), "path", F.sha2("raw", 256).alias("checksum"), "size", F.coalesce(text, F.expr("make_valid_utf8(cast(raw as string))")).alias("content"))
 
 
+def read_text(spark: SparkSession, root: str, paths: DataFrame) -> DataFrame:
+    """path and content of the files that ``paths`` (path, below ``root``) names; those that cannot be read, or lie outside, are left out."""
+    base = os.path.abspath(root)
+
+    def load(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for path in frame["path"]:
+                at = os.path.realpath(f"{base}/{path}")
+                try:
+                    if at.startswith(os.path.realpath(base) + os.sep):
+                        with open(at, "rb") as file:
+                            yield pd.DataFrame({"path": [path], "content": [file.read().decode("utf-8", "replace")]})
+                except OSError:
+                    continue
+
+    return paths.select("path").distinct().mapInPandas(load, "path string, content string")
+
+
 def changes(now: DataFrame, stored: DataFrame) -> DataFrame:
     """path and state of now(path, checksum) against stored(path, checksum): added, changed, same or removed."""
     both = now.select("path", F.col("checksum").alias("a")).join(stored.select("path", F.col("checksum").alias("b")), "path", "full")

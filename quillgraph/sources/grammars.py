@@ -25,7 +25,7 @@ LANGUAGE = {ext: lang for lang, exts in EXTENSIONS.items() for ext in exts}
 if len(LANGUAGE) != sum(map(len, EXTENSIONS.values())):
     raise ValueError("two languages claim one extension")
 
-ROW = "tag string, id string, type string, label string, src string, dst string, fqn string, kind string, supertypes array<string>, returns string, line int, receiver_type string, receiver_call string, path string, message string"
+ROW = "tag string, id string, type string, label string, src string, dst string, fqn string, kind string, supertypes array<string>, returns string, line int, line_end int, receiver_type string, receiver_call string, path string, message string"
 _COLUMNS = [c.split()[0] for c in ROW.split(", ")]
 
 
@@ -87,12 +87,12 @@ def python(sink: Sink, source: str) -> None:
             fq = ".".join(p for p in [module, *scope, getattr(node, "name", "")] if p)
             if isinstance(node, ast.ClassDef):
                 bases = [ast.unparse(b).rpartition(".")[2] for b in node.bases if isinstance(b, ast.Name | ast.Attribute)]
-                ident = sink.declare(scope, node.name, "Class", node.lineno, fq, supertypes=bases)
+                ident = sink.declare(scope, node.name, "Class", node.lineno, fq, supertypes=bases, line_end=node.end_lineno)
                 calls(node.decorator_list, inside)
                 visit(node.body, [*scope, node.name], ident, True)
             elif isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef):
                 returns = ast.unparse(node.returns) if node.returns is not None else None
-                ident = sink.declare(scope, node.name, "Method" if in_class else "Function", node.lineno, fq, returns=returns)
+                ident = sink.declare(scope, node.name, "Method" if in_class else "Function", node.lineno, fq, returns=returns, line_end=node.end_lineno)
                 calls(node.decorator_list, inside)
                 visit(node.body, [*scope, node.name], ident, False)
             elif isinstance(node, ast.Import):
@@ -256,7 +256,7 @@ class Braces:
                 kind = "Function"
             plain = [re.sub(r"\(.*|\+ext@\d+", "", s) for s in (*scope, name)]
             component = family == "ts" and kind == "Function" and plain[-1][:1].isupper() and re.search(r"<[A-Za-z>]", text[a:b])
-            ident = self.sink.declare(scope, name, "Component" if component else kind, self.line(at), ".".join([*([prefix] if prefix else []), *plain]), **more)
+            ident = self.sink.declare(scope, name, "Component" if component else kind, self.line(at), ".".join([*([prefix] if prefix else []), *plain]), line_end=max(self.line(at), self.line(min(b, len(self.text)))), **more)
             scopes.append((a, b, [*scope, name], ident))
             types[ident] = plain
         env = self.fields(scopes, fields.get(family), prefix)
@@ -329,14 +329,14 @@ def extract(files: DataFrame) -> DataFrame:
         for f in frames:
             rows = [r for p, c in zip(f["path"], f["content"], strict=True) for r in parse(p, c)]
             if rows:
-                yield pd.DataFrame(rows, columns=_COLUMNS).astype({"line": "Int32"})
+                yield pd.DataFrame(rows, columns=_COLUMNS).astype({"line": "Int32", "line_end": "Int32"})
 
     return files.select("path", "content").mapInPandas(run, ROW)
 
 
 def split(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """nodes, edges, references, diagnostics."""
-    nodes = rows.where("tag = 'node'").select("id", "type", "label", F.lit(SYMBOL).alias("confidence"), "fqn", "kind", "supertypes", "returns", "path", "line")
+    nodes = rows.where("tag = 'node'").select("id", "type", "label", F.lit(SYMBOL).alias("confidence"), "fqn", "kind", "supertypes", "returns", "path", "line", "line_end")
     edges = rows.where("tag = 'edge'").select("id", "src", "dst", "type", F.lit(SYMBOL).alias("confidence"))
     refs = rows.where("tag = 'ref'").select(F.concat_ws(":", "path", F.lpad(F.col("line").cast("string"), 7, "0"), "src", "label").alias("ref_id"), F.col("label").alias("name"), F.col("src").alias("referrer"), "path", "line", "receiver_type", "receiver_call").dropDuplicates(["ref_id"])
     return nodes.dropDuplicates(["id"]), edges.dropDuplicates(["id"]), refs, rows.where("tag = 'diagnostic'").select("path", F.col("type").alias("severity"), "message")

@@ -65,7 +65,7 @@ def test_index_increment_and_queries(spark, repo, tmp_path):
     (repo / "src/b.py").write_text(FILES["src/b.py"])
     index(spark, str(repo), store)
 
-    engine = Engine(store)
+    engine = Engine(store, str(repo))
     assert "src/b.py#helper" in ids(engine.search("helper").nodes)
     assert {r.node_id for r in engine.blast_radius("src/b.py#helper").collect()} >= {"src/a.py#caller"}
     assert [r.node_id for r in engine.find_path("src/a.py", "src/b.py#helper", "hops").orderBy("step").collect()] == ["src/a.py", "src/a.py#caller", "src/b.py#helper"]
@@ -73,8 +73,9 @@ def test_index_increment_and_queries(spark, repo, tmp_path):
     assert {r.path for r in engine.related_files("src/b.py#helper").collect()} == {"src/b.py"}
     assert engine.impact("src/b.py#helper").count() == 2
     assert engine.build_context("which function calls helper").nodes.count() > 2
-    told = engine.explore("what calls the helper function").orderBy("rank").collect()
+    told = engine.explore("what calls the helper function").symbols.orderBy("rank").collect()
     assert told[0].id == "src/b.py#helper" and told[0].full and any(h.node_id == "src/a.py#caller" for h in told[0].blast_radius)
+    assert told[0].source == "def helper():\n    return 1"
     report = engine.report()
     assert "## Clusters" in report and "artifacts" in report and "helper" in engine.html()
     engine.export_json(str(tmp_path / "out"))

@@ -117,7 +117,8 @@ def test_statistics(spark):
     assert [tuple(x) for x in stats.summarize(df, "v", "k").collect()] == [("a", 2.5, 1.0, 4.0, 2)]
     k = stats.kappa(spark.createDataFrame([(True, True)] * 3, "a boolean, b boolean"), "a", "b").first()
     assert (k.n, k.kappa) == (3, 1.0)
-    assert stats.derive_tokens('How does `ServeHTTP call` use gin.go, packages/lib/handleIt.ts and 404, e.g. GIN_MODE?') == ["ServeHTTP call", "ServeHTTP", "gin.go", "packages/lib/handleIt.ts", "handleIt.ts", "handleIt", "GIN_MODE", "404"]
+    asked = 'How does `ServeHTTP call` use gin.go, packages/lib/handleIt.ts and 404, e.g. GIN_MODE?'
+    assert spark.range(1).select(stats.derive_tokens(F.lit(asked))).first()[0] == ["ServeHTTP call", "ServeHTTP", "gin.go", "packages/lib/handleIt.ts", "handleIt.ts", "handleIt", "GIN_MODE", "404"]
     ranked = spark.createDataFrame([(1, "x", 1), (1, "y", 2), (1, "x", 3), (2, "z", 1)], "qid int, file string, position int")
     want = spark.createDataFrame([(1, "y"), (1, "q"), (3, "a")], "qid int, file string")
     assert {x.qid: (x.precision, x.recall, x.mrr) for x in stats.ranking_metrics(ranked, want, 2).collect()} == {1: (0.5, 0.5, 0.5), 2: (0.0, 1.0, 0.0), 3: (0.0, 0.0, 0.0)}
