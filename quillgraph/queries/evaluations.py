@@ -110,9 +110,3 @@ def symbols_by_module(spark, d):
     tree = m.build_tree(part.select(F.col("module").alias("path")))
     owned = first.join(m.owners(first.select("path").distinct(), tree), "path")
     return owned.groupBy(F.substring("owner", 8, 1000).alias("owner")).agg(F.count("*").alias("symbols"))
-
-
-@query("with recursive GRAPH, n2 as (select id, label from nodes where type in ('region', 'nation')), e0 as (select src, dst from edges where type = 'contains' and src in (select id from n2) and dst in (select id from n2)), e2 as (select src as u, dst as v from e0 union select dst, src from e0), r(id, c) as (select id, id from n2 union select e2.v, r.c from r join e2 on e2.u = r.id), k as (select id, min(c) as c from r group by id), z as (select n2.label, c, count(*) over (partition by c) as size, row_number() over (partition by c order by n2.id) as n from n2 join k using (id)) select c as component, size, string_agg(label, '|' order by n) as labels from z where n <= 5 group by c, size")
-def graph_clusters(spark, d):
-    n = nodes(spark, d).where(F.col("type").isin("region", "nation"))
-    return g.clusters(n, edges(spark, d).where("type = 'contains'")).select("component", "size", F.array_join("labels", "|").alias("labels"))

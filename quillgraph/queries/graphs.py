@@ -25,13 +25,6 @@ def _seed(spark: SparkSession, *ids: str) -> DataFrame:
     return spark.createDataFrame([(i,) for i in ids], "id string")
 
 
-def _country(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Regions, nations, customers and suppliers with what holds them."""
-    kinds = ["region", "nation", "customer", "supplier"]
-    n = nodes(spark, sf_dir).where(F.col("type").isin(kinds))
-    return n, edges(spark, sf_dir).where("type = 'contains'")
-
-
 @query("with GRAPH select 'nodes' as what, count(*) as n from nodes union all select 'edges', count(*) from edges union all select 'artifacts', count(*) from documents")
 def graph_stats(spark, d):
     counts = [nodes(spark, d).agg(F.count("*").alias("n")).select(F.lit("nodes").alias("what"), "n"), edges(spark, d).agg(F.count("*")).select(F.lit("edges"), "count(1)"), table(spark, d, "documents").agg(F.count("*")).select(F.lit("artifacts"), "count(1)")]
@@ -163,48 +156,68 @@ def hop_distance(spark, d):
     return g.distances(edges(spark, d), "order:2", F.lit(1.0)).select("node_id", "distance")
 
 
-_RANK = """, kind as (select id, label from nodes where type in ('region', 'nation', 'customer', 'supplier')),
-link as (select src, dst from edges where type = 'contains'), deg as (select src, count(*) as n from link group by src),
-num as (select count(*)::double as n from kind),
-r(i, id, rank) as (select 0, id, 1 / num.n from kind, num
+_RANK = """, link as (select src, dst, sum(confidence) as w from edges where src in (select id from nodes) and dst in (select id from nodes) group by src, dst),
+deg as (select src, sum(w) as w from link group by src),
+num as (select count(*)::double as n from nodes),
+r(i, id, rank) as (select 0, id, 1 / num.n from nodes, num
   union all select r.i + 1, k.id, (0.15 + 0.85 * coalesce((select sum(x.rank) from r x where x.id not in (select src from deg)), 0)) / max(num.n) + 0.85 * coalesce(max(got.s), 0)
-  from r join kind k on k.id = r.id cross join num
-  left join (select link.dst, sum(r2.rank / deg.n) as s from link join r r2 on r2.id = link.src join deg on deg.src = link.src group by link.dst) got on got.dst = k.id
+  from r join nodes k on k.id = r.id cross join num
+  left join (select link.dst, sum(r2.rank * link.w / deg.w) as s from link join r r2 on r2.id = link.src join deg on deg.src = link.src group by link.dst) got on got.dst = k.id
   where r.i < 10 group by r.i, k.id)"""
 
 
-@query(f"with recursive GRAPH{_RANK} select id, round(rank, 8) as rank from r where i = 10")
+def _ranks(spark, d):
+    return g.pagerank(nodes(spark, d), edges(spark, d), iterations=10, tolerance=None)
+
+
+@query(f"with recursive GRAPH{_RANK} select id, round(rank, 10) as rank from r where i = 10")
 def pagerank_10(spark, d):
-    return g.pagerank(*_country(spark, d), iterations=10).select("id", F.round("rank", 8).alias("rank"))
+    return _ranks(spark, d).select("id", F.round("rank", 10).alias("rank"))
 
 
-@query(f"with recursive GRAPH{_RANK} select id, round(rank, 8) as rank from (select id, round(rank, 12) as rank from r where i = 10) order by rank desc, id limit 10")
+@query(f"with recursive GRAPH{_RANK} select id, round(rank, 10) as rank from (select id, round(rank, 12) as rank from r where i = 10) order by rank desc, id limit 10")
 def pagerank_top10(spark, d):
-    ranks = g.pagerank(*_country(spark, d), iterations=10).select("id", F.round("rank", 12).alias("rank"))
-    return ranks.orderBy(F.desc("rank"), "id").limit(10).select("id", F.round("rank", 8).alias("rank"))
+    ranks = _ranks(spark, d).select("id", F.round("rank", 12).alias("rank"))
+    return ranks.orderBy(F.desc("rank"), "id").limit(10).select("id", F.round("rank", 10).alias("rank"))
 
 
-@query(f"with recursive GRAPH{_RANK} select id, label, row_number() over (order by score desc, id) as position, total from (select r.id, label, round(rank, 12) as score, count(*) over () as total from r join kind on kind.id = r.id where i = 10) order by position limit 15")
+@query(f"with recursive GRAPH{_RANK} select id, label, row_number() over (order by score desc, id) as position, total from (select r.id, label, round(rank * confidence, 12) as score, count(*) over () as total from r join nodes on nodes.id = r.id where i = 10) order by position limit 15")
 def bundle_rank(spark, d):
-    return g.bundle(*_country(spark, d), limit=15, iterations=10).select("id", "label", "position", "total")
+    return g.bundle(nodes(spark, d), edges(spark, d), limit=15, iterations=10, tolerance=None).select("id", "label", "position", "total")
+
+
+#: Smallest labels next to each node, in more rounds than the longest path has edges: the types' chain is shorter than that.
+_SAME = """, e2 as (select src as u, dst as v from edges where src in (select id from nodes) and dst in (select id from nodes) union select dst, src from edges where src in (select id from nodes) and dst in (select id from nodes)),
+r(i, id, c) as (select 0, id, id from nodes
+  union all select r.i + 1, r.id, least(min(r.c), coalesce(min(near.c), min(r.c)))
+  from r left join (select e2.u, min(x.c) as c from e2 join r x on x.id = e2.v group by e2.u) near on near.u = r.id
+  where r.i < 16 group by r.i, r.id),
+k as (select id, c from r where i = 16)"""
 
 
-@query("""with recursive GRAPH, n2 as (select id, label from nodes where type in ('region', 'nation', 'customer')),
-e0 as (select src, dst from edges where type = 'contains' and src in (select id from n2) and dst in (select id from n2)),
-e2 as (select src as u, dst as v from e0 union select dst, src from e0),
-r(id, c) as (select id, id from n2 union select e2.v, r.c from r join e2 on e2.u = r.id)
-select id, min(c) as component from r group by id""")
+@query(f"with recursive GRAPH{_SAME} select id, c as component from k")
 def connected_components(spark, d):
-    n = nodes(spark, d).where(F.col("type").isin("region", "nation", "customer"))
-    return g.components(n, edges(spark, d).where("type = 'contains'"))
+    return g.components(nodes(spark, d), edges(spark, d))
 
 
-@query("with p as (select c_custkey, c_nationkey, n_regionkey from customer join nation on n_nationkey = c_nationkey) select 'region' as kind, n_regionkey as k, count(*) + (select count(*) from nation n where n.n_regionkey = p.n_regionkey) + 1 as size from p group by n_regionkey")
+@query(f"with recursive GRAPH{_SAME} select c as component, count(*) as size from k group by c")
 def component_sizes(spark, d):
-    n = nodes(spark, d).where(F.col("type").isin("region", "nation", "customer"))
-    comp = g.components(n, edges(spark, d).where("type = 'contains'"))
-    named = comp.where("id like 'region:%'").select("component", F.substring_index("id", ":", -1).cast("int").alias("k"))
-    return comp.groupBy("component").agg(F.count("*").alias("size")).join(named, "component").select(F.lit("region").alias("kind"), "k", "size")
+    return g.components(nodes(spark, d), edges(spark, d)).groupBy("component").agg(F.count("*").alias("size"))
+
+
+@query(f"with recursive GRAPH{_SAME}, z as (select nodes.label, c, count(*) over (partition by c) as size, row_number() over (partition by c order by nodes.id) as n from nodes join k using (id)), t as (select c, any_value(size) as size from z group by c order by 2 desc, c limit 20) select c as component, z.size, string_agg(label, '|' order by n) as labels from z join t using (c) where n <= 5 group by c, z.size")
+def graph_clusters(spark, d):
+    return g.clusters(nodes(spark, d), edges(spark, d)).select("component", "size", F.array_join("labels", "|").alias("labels"))
+
+
+# the way with the fewest hops is not unique, but its length is, and each step is an edge
+@query("with recursive GRAPH, r(id, h) as (select 'order:3', 0 union select e.dst, r.h + 1 from r join edges e on e.src = r.id where r.h < 6), b as (select min(h) as h from r where id = 'region:2' or id = 'nation:4') select cast(coalesce(h, -1) as int) as steps, true as linked from b")
+def find_path_length(spark, d):
+    n, e = nodes(spark, d), edges(spark, d)
+    path = g.find_path(n, e, "order:3", "nation:4", F.lit(1.0))
+    pairs = path.alias("a").join(path.alias("b"), F.col("b.step") == F.col("a.step") + 1).select(F.col("a.node_id").alias("src"), F.col("b.node_id").alias("dst"))
+    bad = pairs.join(e.select("src", "dst"), ["src", "dst"], "left_anti").agg(F.count("*").alias("bad"))
+    return path.agg(F.coalesce(F.max("step"), F.lit(-1)).alias("steps")).crossJoin(bad).select("steps", (F.col("bad") == 0).alias("linked"))
 
 
 @query("with recursive p as (select distinct p_brand || '/' || p_type as sub, p_brand as super from part union select distinct p_brand, 'Thing' from part), r(sub, super) as (select sub, sub from p union select super, super from p union select r.sub, p.super from r join p on p.sub = r.super) select sub, super from r")
