@@ -56,6 +56,11 @@ def missing_files(gold: DataFrame, artifacts: DataFrame) -> DataFrame:
     return gold.select("file").distinct().join(artifacts.select(F.col("path").alias("file")), "file", "left_anti")
 
 
+def evidence(entities: DataFrame, provenance: DataFrame) -> DataFrame:
+    """The rows of provenance (entity_id, ...) of entities(id)."""
+    return provenance.join(entities.select(F.col("id").alias("entity_id")).distinct(), "entity_id", "left_semi")
+
+
 def judged(facts: DataFrame, verdicts: DataFrame) -> DataFrame:
     """run_id, accuracy of facts(run_id, fact_id) with verdicts(run_id, fact_id, hit); no verdict is a miss."""
     both = facts.join(verdicts, ["run_id", "fact_id"], "left")

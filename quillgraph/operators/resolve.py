@@ -189,7 +189,9 @@ def merged_nodes(nodes: DataFrame) -> DataFrame:
 def merged_provenance(provenance: DataFrame, merged: DataFrame) -> DataFrame:
     """``provenance`` (entity_id, artifact_id, line, text_span) under canonical ids; one row an artifact, line and span of each."""
     named = provenance.join(merged.withColumnRenamed("id", "entity_id"), "entity_id").drop("entity_id").withColumnRenamed("canonical", "entity_id")
-    return named.groupBy("entity_id", "artifact_id", "line", "text_span").agg(*[F.min(c).alias(c) for c in named.columns if c not in ("entity_id", "artifact_id", "line", "text_span")])
+    keys = ["entity_id", "artifact_id", "line", "text_span"]
+    others = [F.min(c).alias(c) for c in named.columns if c not in keys]
+    return named.groupBy(*keys).agg(*others) if others else named.select(keys).distinct()
 
 
 def build_graph(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["graphs", "texts", "resolution", "artifacts", "statistics", "evaluations"]
+MODULES = ["graphs", "texts", "resolution", "artifacts", "statistics", "evaluations", "projects"]
 
 
 def queries() -> dict:
