@@ -26,14 +26,28 @@ def encode_vector(v: pd.Series) -> pd.Series:
     """Base64 of big-endian 32-bit floats."""
     import base64
 
-    return v.map(lambda x: None if x is None else base64.b64encode(np.asarray(x, ">f4").tobytes()).decode())
+    # all vectors of a batch become bytes at once; only the cuts between them are made one by one
+    there = v.notna().to_numpy()
+    sizes = np.array([4 * len(x) for x in v[there]], np.int64)
+    raw = np.concatenate(v[there].to_list()).astype(">f4").tobytes() if sizes.sum() else b""
+    ends = np.cumsum(sizes)
+    out = np.full(len(v), None, object)
+    out[there] = [base64.b64encode(raw[a:b]).decode() for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
+    return pd.Series(out)
 
 
 @pandas_udf(T.ArrayType(T.FloatType()))
 def decode_vector(s: pd.Series) -> pd.Series:
     import base64
 
-    return s.map(lambda x: None if x is None else np.frombuffer(base64.b64decode(x), ">f4").astype(np.float32))
+    there = s.notna().to_numpy()
+    parts = [base64.b64decode(x) for x in s[there]]
+    values = np.frombuffer(b"".join(parts), ">f4").astype(np.float32)
+    ends = np.cumsum([len(p) // 4 for p in parts])
+    out = np.full(len(s), None, object)
+    for i, x in zip(np.flatnonzero(there).tolist(), np.split(values, ends[:-1]) if parts else [], strict=True):
+        out[i] = x
+    return pd.Series(out)
 
 
 def needs_embedding(model: Column, size: Column, source_hash: Column, now_model: str, now_size: int, now_hash: Column) -> Column:

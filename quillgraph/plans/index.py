@@ -22,6 +22,7 @@ class IndexStats:
     nodes: int
     edges: int
     skipped: int
+    failed: int
     warnings: int
 
 
@@ -98,11 +99,11 @@ def _document_rows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return union(nodes), union(edges)
 
 
-def index(spark: SparkSession, root: str, store: Store, config: f.Config | None = None, purge: bool = True) -> IndexStats:
-    """Brings the store up to date with the files below ``root``. ``purge``: files that are gone leave the graph."""
+def index(spark: SparkSession, root: str, store: Store, config: f.Config | None = None, purge: bool = True, fresh: bool = False) -> IndexStats:
+    """Brings the store up to date with the files below ``root``. ``purge``: files that are gone leave the graph. ``fresh``: all files are read anew."""
     with store.locked():
         now = settle(f.read_files(spark, root, config))
-        old = store.read("artifacts") if store.exists() else None
+        old = store.read("artifacts") if store.exists() and not fresh else None
         state = f.changes(now, old if old is not None else now.where("false"))
         state = settle(state)
         todo = now.join(state.where("state in ('added', 'changed')"), "path", "left_semi")
@@ -132,7 +133,9 @@ def index(spark: SparkSession, root: str, store: Store, config: f.Config | None
         arts = now.select("id", "type", "path", "checksum", "size")
         store.write(artifacts=arts, nodes=nodes, edges=edges, provenance=provenance, refs=refs, diagnostics=warnings)
         skipped = state.where("state = 'same'").count()
-        return IndexStats(arts.count(), store.read("nodes").count(), store.read("edges").count(), skipped, store.read("diagnostics").count())
+        told = store.read("diagnostics").groupBy("severity").count().collect()
+        failed = sum(r["count"] for r in told if r.severity == "ERROR")
+        return IndexStats(arts.count(), store.read("nodes").count(), store.read("edges").count(), skipped, failed, sum(r["count"] for r in told) - failed)
 
 
 def derive(nodes: DataFrame, edges: DataFrame, refs: DataFrame) -> DataFrame:

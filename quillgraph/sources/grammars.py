@@ -315,10 +315,13 @@ def parse(path: str, source: str) -> list[dict]:
     """Rows of one file; of a file in no known language, the file alone."""
     language = LANGUAGE.get(path.rsplit(".", 1)[-1].lower() if "." in path else "")
     sink = Sink(path, language)
-    if language == "python":
-        python(sink, source or "")
-    elif language:
-        Braces(sink, source or "", language).run()
+    try:
+        if language == "python":
+            python(sink, source or "")
+        elif language:
+            Braces(sink, source or "", language).run()
+    except Exception as e:  # one file that no grammar can read does not stop the run; it is counted as failed
+        sink.add(tag="diagnostic", type="ERROR", message=f"{type(e).__name__}: {e}")
     return sink.rows
 
 

@@ -13,10 +13,25 @@ from quillgraph.sources.files import Config
 from quillgraph.sources.store import Store
 
 
-def watch(spark: SparkSession, root: str, store: Store, checkpoint: str, config: Config | None = None, told: Callable[[IndexStats], None] | None = None, once: bool = False) -> StreamingQuery:
+class Watch:
+    """The queries that follow a directory."""
+
+    def __init__(self, *queries: StreamingQuery):
+        self.queries = queries
+
+    def awaitTermination(self, timeout: float | None = None) -> None:
+        self.queries[0].awaitTermination(timeout)
+
+    def stop(self) -> None:
+        for q in self.queries:
+            q.stop()
+
+
+def watch(spark: SparkSession, root: str, store: Store, checkpoint: str, config: Config | None = None, told: Callable[[IndexStats], None] | None = None, once: bool = False) -> Watch:
     """Indexes ``root`` anew whenever files arrive or change; files of one trigger make one run.
 
     The file source tells that something changed; the run itself compares checksums, so that it also sees what is gone.
+    Every ``rescan_seconds`` a run looks for what no arrival told, such as files that are gone; 0 leaves this out.
     """
     config = config or Config()
     seen = spark.readStream.format("binaryFile").option("recursiveFileLookup", True).schema("path string, modificationTime timestamp, length long, content binary").load(root).select("path")
@@ -27,8 +42,15 @@ def watch(spark: SparkSession, root: str, store: Store, checkpoint: str, config:
             if told:
                 told(stats)
 
-    writer = seen.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{config.debounce_ms} milliseconds")).start()
+    def start(frame: DataFrame, name: str, every: str) -> StreamingQuery:
+        writer = frame.writeStream.foreachBatch(run).option("checkpointLocation", f"{checkpoint}/{name}")
+        return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
+
+    queries = [start(seen, "files", f"{config.debounce_ms} milliseconds")]
+    if config.rescan_seconds and not once:
+        ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+        queries.append(start(ticks, "rescan", f"{config.rescan_seconds} seconds"))
+    return Watch(*queries)
 
 
 def event_rates(events: DataFrame, ts: str = "ts", window: str = "1 hour", late: str = "2 hours") -> DataFrame:
