@@ -1,4 +1,4 @@
-"""Token counts by offset-mapped attribution.
+r"""Token counts by offset-mapped attribution.
 
 Each whole text is encoded once. The tokens' byte lengths give their offsets, which are joined as intervals to the
 text's sections. A token that crosses a boundary goes, whole, to one section by ``rule``: ``largest`` (the section that
@@ -10,6 +10,7 @@ points. Spans are taken in the order of their starts and cut off where the next
 
 Defined results
   null or empty text: one section 0 of no tokens (lines), or its given spans with none. Texts of any length are whole.
+  A run of white space that is too long for the pattern's engine is one piece, as patterns with ``\s+(?!\S)|\s+`` have it.
   null or empty spans column: no sections; all tokens are under -1, a row that only exists where tokens do.
   spans beyond the text are cut to it; null bounds: the span is empty at 0. Repeated ids and rows: rows for each.
 """
@@ -18,6 +19,8 @@ from __future__ import annotations
 
 import base64
 import importlib
+import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +33,11 @@ from quillgraph.llm.common import small_batches
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 RULES = ("largest", "first", "last")
+#: Module that tells the tokenizer's pattern where none is given.
+PATTERN_OF = "public_tokenizers"
+#: White space as tokenizers' patterns know it, in runs that their engine may have no stack for.
+LONG_SPACE = 50_000
+_SPACE = "[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
 class Encoder:
@@ -52,7 +60,26 @@ class Encoder:
                 length[rank] = len(piece)
             self.ready = tiktoken.Encoding("own", pat_str=self.pattern, mergeable_ranks=table, special_tokens={}), length
         encoding, length = self.ready
-        return length[encoding.encode_to_numpy(text, disallowed_special=())] if text else np.zeros(0, np.int64)
+        if not text:
+            return np.zeros(0, np.int64)
+        parts, at = [], 0
+        for m in re.finditer(f"{_SPACE}{{{LONG_SPACE},}}", text) if len(text) >= LONG_SPACE else ():
+            # the last blank before a word goes with the word
+            end = m.end() if m.end() == len(text) else m.end() - 1
+            if m.start() > at:
+                parts.append(encoding.encode_to_numpy(text[at : m.start()], disallowed_special=()))
+            parts.append(np.array(encoding._encode_single_piece(text[m.start() : end]), np.int64))
+            at = end
+        if at < len(text):
+            parts.append(encoding.encode_to_numpy(text[at:], disallowed_special=()))
+        return length[np.concatenate(parts).astype(np.int64)]
+
+
+def _pattern() -> str:
+    try:
+        return importlib.import_module(PATTERN_OF).PATTERN
+    except ModuleNotFoundError as e:
+        raise ValueError(f"give the tokenizer's pattern: there is no module {PATTERN_OF} to tell it") from e
 
 
 def allot(sizes: np.ndarray, starts: np.ndarray, ends: np.ndarray, rule: str) -> np.ndarray:
@@ -83,7 +110,9 @@ def attribute(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", spans
     if rule not in RULES:
         raise ValueError(f"rule is one of {RULES}")
     spark = docs.sparkSession
-    pattern = pattern or importlib.import_module("public_tokenizers").PATTERN
+    if not os.path.isfile(tokenizer):
+        raise ValueError(f"no tokenizer file {tokenizer}: give the path of a file of ranks, base64 and number a line")
+    pattern = pattern or _pattern()
     with open(tokenizer, "rb") as file:
         encoder = spark.sparkContext.broadcast(Encoder(file.read(), pattern))
     small_batches(spark)

@@ -1,4 +1,5 @@
 import importlib
+import re
 
 import numpy as np
 import pytest
@@ -54,3 +55,30 @@ def test_given_spans_gaps_and_nulls(spark, encoder):
     assert attribute(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     with pytest.raises(ValueError):
         attribute(spark.createDataFrame([], "doc_id long, text string"), rule="other")
+
+
+def test_long_runs_are_encoded_as_the_pattern_has_them(encoder, monkeypatch):
+    from quillgraph.llm import tokens
+
+    for text in ("a" + " " * 300 + "b", "\n" * 257 + "  c", " " * 400, "x\t" + " \n" * 150 + "y z" + " " * 299 + "'s", "end" + " " * 250):
+        monkeypatch.setattr(tokens, "LONG_SPACE", 10**9)
+        whole = encoder.sizes(text).tolist()
+        monkeypatch.setattr(tokens, "LONG_SPACE", 200)
+        assert encoder.sizes(text).tolist() == whole
+
+
+def test_a_million_characters_without_a_break(spark):
+    texts = ["a" * 1_000_000, " " * 1_200_000 + "end", "\n" * 700_000, "!" * 1_000_000]
+    rows = attribute(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).groupBy("doc_id").sum("n_tokens", "section").collect()
+    assert {r.doc_id for r in rows} == {0, 1, 2, 3} and all(r["sum(n_tokens)"] > 0 for r in rows)
+
+
+def test_what_is_missing_is_told(spark, monkeypatch):
+    from quillgraph.llm import tokens
+
+    df = spark.createDataFrame([(1, "x")], "doc_id long, text string")
+    with pytest.raises(ValueError, match="no tokenizer file"):
+        attribute(df, tokenizer="/nowhere")
+    monkeypatch.setattr(tokens, "PATTERN_OF", "no_such_module")
+    with pytest.raises(ValueError, match="pattern"):
+        attribute(df)
