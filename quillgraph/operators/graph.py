@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from quillgraph.operators.iterate import settle, steady
 
 LOW_CONFIDENCE = 0.65
+#: Nodes under one label that a join by this label may put in one task; a label with more meets its own in a broadcast.
+HOT = 1_000_000
 
 
 def edges_out(edges: DataFrame, node: str) -> DataFrame:
@@ -170,11 +172,15 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     links = drop_dangling(nodes, edges).where("src <> dst").select("src", "dst")
     both = settle(links.union(links.select("dst", "src")).distinct().toDF("u", "v"))
     labels = settle(nodes.select("id").distinct().join(both.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("m")), "id", "left").select("id", F.least("id", "m").alias("c")))
+    size = labels.count()
     while True:
         ends = both.join(labels.toDF("u", "cu"), "u").join(labels.toDF("v", "cv"), "v").where("cv < cu")
         told = ends.select(F.explode(F.array("u", "cu")).alias("id"), "cv").groupBy("id").agg(F.min("cv").alias("m"))
         hooked = labels.join(told, "id", "left").select("id", F.least("c", "m").alias("c"), F.col("m").isNotNull().alias("moved"))
-        after = settle(hooked.join(labels.toDF("c", "up"), "c", "left").select("id", F.least("c", "up").alias("c"), (F.col("moved") | F.coalesce(F.col("up") < F.col("c"), F.lit(False))).alias("moved")))
+        ups = labels.toDF("c", "up")
+        many = [r.c for r in hooked.groupBy("c").count().where(F.col("count") > HOT).collect()] if size > HOT else []  # one label in a million nodes at most
+        jumped = hooked.where(~F.col("c").isin(many)).join(ups, "c", "left").union(hooked.where(F.col("c").isin(many)).join(F.broadcast(ups.where(F.col("c").isin(many))), "c", "left")) if many else hooked.join(ups, "c", "left")
+        after = settle(jumped.select("id", F.least("c", "up").alias("c"), (F.col("moved") | F.coalesce(F.col("up") < F.col("c"), F.lit(False))).alias("moved")))
         labels = after.select("id", "c")
         if after.where("moved").isEmpty():
             return labels.withColumnRenamed("c", "component")

@@ -130,3 +130,52 @@ def test_budget_elides_all_after_the_first_overflow(spark):
     df = spark.createDataFrame([(1, i, c, 1) for i, c in enumerate([5, 4, 3, 1])], "g int, i int, cost long, brief long")
     got = [(x.full, x.used) for x in t.pack_budget(df, 10, "g", "i", "cost", "brief").orderBy("i").collect()]
     assert got == [(True, 5), (True, 9), (False, 10), (False, 11)]
+
+
+def test_components_with_a_hot_label(spark, monkeypatch):
+    monkeypatch.setattr(g, "HOT", 3)
+    pairs = [(f"n{i:02}", f"n{i + 1:02}") for i in range(20)] + [("x", f"y{i}") for i in range(6)]
+    nodes = spark.createDataFrame(sorted({(i,) for p in pairs for i in p} | {("alone",)}), "id string")
+    edges = spark.createDataFrame([(f"e{k}", a, b) for k, (a, b) in enumerate(pairs)], "id string, src string, dst string")
+    got = dict(map(tuple, g.components(nodes, edges).collect()))
+    assert got == {**{f"n{i:02}": "n00" for i in range(21)}, **{f"y{i}": "x" for i in range(6)}, "x": "x", "alone": "alone"}
+
+
+def test_find_path_of_any_length(spark):
+    names = [f"n{i}" for i in range(38)]
+    nodes = spark.createDataFrame([(n,) for n in [*names, "far"]], "id string")
+    edges = spark.createDataFrame([(f"e{i}", a, b, 0.5) for i, (a, b) in enumerate(zip(names, names[1:]))], "id string, src string, dst string, confidence double")
+    got = [r.node_id for r in g.find_path(nodes, edges, "n0", "n37").orderBy("step").collect()]
+    assert got == names
+    assert [r.node_id for r in g.find_path(nodes, edges, "n3", "n3").collect()] == ["n3"]
+    assert g.find_path(nodes, edges, "n0", "far").count() == 0 and g.find_path(nodes, edges, "n0", "none").count() == 0
+
+
+def test_pagerank_goes_by_confidence(spark):
+    nodes = spark.createDataFrame([("a",), ("b",), ("c",)], "id string")
+    edges = spark.createDataFrame([("1", "a", "b", 0.9), ("2", "a", "c", 0.1)], "id string, src string, dst string, confidence double")
+    got = dict(map(tuple, g.pagerank(nodes, edges).collect()))
+    assert abs(sum(got.values()) - 1) < 1e-9 and got["b"] > got["c"] > 0
+    even = dict(map(tuple, g.pagerank(nodes, edges, weighted=False).collect()))
+    assert abs(even["b"] - even["c"]) < 1e-12
+
+
+def test_budgets_over_several_ranges(spark):
+    rows = [(f"g{i % 2}", i, 1 + i % 5, 1) for i in range(500)]
+    df = spark.createDataFrame(rows, "g string, i int, cost int, brief int").repartition(7)
+    got = {r.i: (r.full, r.used) for r in t.pack_budget(df, 300, "g", "i", "cost", "brief").collect()}
+    for g0 in (0, 1):
+        spent = used = 0
+        for _, i, cost, brief in rows[g0::2]:
+            spent += cost
+            used += cost if spent <= 300 else brief
+            assert got[i] == (spent <= 300, used)
+
+
+def test_windows_of_time_across_stretches(spark):
+    from quillgraph.operators import stats
+
+    times = [0, 1, 59, 60, 61, 64 * 60 - 1, 64 * 60, 64 * 60 + 58, 64 * 60 + 60, 200 * 60]
+    df = spark.createDataFrame([("k", t0) for t0 in times] + [("z", 5)], "k string, s long").selectExpr("k", "s", "timestamp_seconds(s) as ts")
+    got = {(r.k, r.s): r.in_window for r in stats.rate_window(df, "ts", "k", 60).collect()}
+    assert got == {**{("k", a): sum(a - 60 <= b <= a for b in times) for a in times}, ("z", 5): 1}
