@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from quillgraph.operators import search as s
 from quillgraph.operators import stats
 from quillgraph.plans.derived import SQL, edges, table
 from quillgraph.sources import extract as x
+from quillgraph.sources import grammars
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -175,3 +178,28 @@ def retrieval_summary(spark, d):
     scores = rows.where("t.ranker = 'ripgrep' or p_size > 5").select("repo", "category", "t.ranker", (F.col("p_size") / 50 * F.col("t.f")).alias("p5"), (1 / F.col("p_size")).alias("mrr"))
     out = stats.retrieval_summary(scores, ["p5", "mrr"])
     return out.select("section", "name", "ranker", "measured", F.round("p5", 8).alias("p5"), F.round("mrr", 8).alias("mrr"))
+
+
+def _grammar(extension: str, source: str, nodes: str, calls: str):
+    """A query and its SQL: nodes and calls of a file for each part, with ``{k}`` for its key. ``nodes``: scope=type; ``calls``: scope>name."""
+
+    def run(spark, d):
+        made = "concat(" + ", ".join(repr(x) if i % 2 == 0 else "p_partkey" for i, x in enumerate(re.split(r"(\{k\})", source))) + ")"
+        files = table(spark, d, "part").select(F.concat(F.lit("src/F"), "p_partkey", F.lit(f".{extension}")).alias("path"), F.expr(made).alias("content"))
+        rows = grammars.extract(files).withColumn("said", F.when(F.col("tag") == "node", F.concat_ws("=", "id", "type")).when(F.col("tag") == "ref", F.concat_ws(">", "src", "label")))
+        return rows.where("tag in ('node', 'ref')").select("said").distinct()
+
+    names = ", ".join("'src/F{k}.%s" % extension + ("#" if not n.startswith("=") else "") + n + "'" for n in nodes.split() + calls.split())
+    listed = re.sub(r"\{k\}", "' || p_partkey || '", names)
+    return run, f"select distinct unnest([{listed}]) as said from part"
+
+
+for _name, _parts in {
+    "grammar_java": ("java", "package app;\nimport lib.Help;\npublic class P{k} extends Base implements Api {\n  private Help help;\n  enum Kind { A, B }\n  public int run{k}(String a, List<String> b) {\n    return help.go{k}(a);\n  }\n}\n", "=File import:lib.Help=Module P{k}=Class P{k}.help=Field P{k}.Kind=Enum P{k}.Kind.A=Field P{k}.Kind.B=Field P{k}.run{k}(String,List)=Method", "P{k}.run{k}(String,List)>go{k}"),
+    "grammar_python": ("py", "from lib import help{k}\nimport os\nLIMIT = 3\nclass P{k}(Base):\n    def run(self):\n        return help{k}(self)\n\ndef main() -> int:\n    return P{k}().run()\n", "=File import:lib.help{k}=Module import:os=Module LIMIT=Constant P{k}=Class P{k}.run=Method main=Function", "P{k}.run>help{k} main>P{k} main>run"),
+    "grammar_typescript": ("ts", "import { help } from './lib';\nexport interface Api{k} { go(): void }\nexport class P{k} implements Api{k} {\n  go(): void { help(); }\n}\nexport type T{k} = string;\nexport const run{k} = (a: number) => { return help(a); };\nfunction main{k}(x: string): number { return run{k}(1); }\n", "=File import:./lib=Module Api{k}=Interface Api{k}.go()=Method P{k}=Class P{k}.go()=Method T{k}=TypeAlias run{k}=Function main{k}(string)=Function", "P{k}.go()>help run{k}>help main{k}(string)>run{k}"),
+    "grammar_kotlin": ("kt", "package app\nimport lib.help\ninterface Api{k}\nclass P{k}(val a: Int) : Api{k} {\n  val size = 3\n  fun run(b: String): Int { return help{k}(b) }\n}\nfun main() { start{k}() }\n", "=File import:lib.help=Module Api{k}=Interface P{k}=Class P{k}.a=Property P{k}.size=Property P{k}.run(String)=Method main()=Function", "P{k}.run(String)>help{k} main()>start{k}"),
+    "grammar_swift": ("swift", "import Lib\nprotocol Api{k} {}\nclass P{k}: Api{k} {\n  var size = 3\n  func run(b: String) -> Int { return help{k}(b) }\n}\nenum E{k} { case one, two }\n", "=File import:Lib=Module Api{k}=Protocol P{k}=Class P{k}.size=Property P{k}.run(String)=Method E{k}=Enum E{k}.one=Field E{k}.two=Field", "P{k}.run(String)>help{k}"),
+    "grammar_objc": ("m", "@interface P{k} : Base\n@property (nonatomic) int size;\n- (int)run:(int)a with:(int)b;\n@end\n@implementation P{k}\n- (int)run:(int)a with:(int)b { return [self help{k}:a]; }\n@end\n", "=File P{k}=Class P{k}.size=Property P{k}.run:with:=Method", "P{k}.run:with:>help{k}:"),
+}.items():
+    QUERIES[_name], ORACLES[_name] = _grammar(*_parts)

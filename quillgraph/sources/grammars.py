@@ -152,7 +152,7 @@ class Braces:
     IMPORTS = {
         "java": r"^\s*import\s+(?:static\s+)?([\w.]+(?:\.\*)?)\s*;",
         "kotlin": r"^\s*import\s+([\w.]+(?:\.\*)?)",
-        "swift": r"^\s*(?:@testable\s+)?import\s+(?:\w+\s+)?([\w.]+)",
+        "swift": r"^[ \t]*(?:@testable[ \t]+)?import[ \t]+(?:(?:class|struct|enum|protocol|func|let|var|typealias)[ \t]+)?([\w.]+)",
         "objc": r"^\s*(?:#import|@import)\s+[<\"]?([\w./+-]+)",
         "ts": r"^\s*(?:import|export)\b[^;\n]*?\bfrom\s*['\"]([^'\"]+)['\"]|^\s*import\s*['\"]([^'\"]+)['\"]|\brequire\(\s*['\"]([^'\"]+)['\"]\s*\)",
     }
@@ -182,6 +182,7 @@ class Braces:
             sink.warn(f"unclosed brace in line {self.line(stack[-1])}")
             self.blocks += [(s, len(self.text)) for s in stack]
         self.ends = dict(self.blocks)
+        self.given: list[tuple[int, int, str]] = []  # properties that a head declares: of which type, where, name
 
     def line(self, at: int) -> int:
         import bisect
@@ -189,8 +190,9 @@ class Braces:
         return bisect.bisect_right(self.lines, at)
 
     def body(self, at: int) -> tuple[int, int] | None:
-        """The block that begins after ``at`` before the next statement."""
-        m = re.compile(r"[^{};]*\{").match(self.text, at)
+        """The block that begins after ``at`` before the next statement. In languages without semicolons a line's end is one, unless the head goes on."""
+        head = r"(?:\([^()]*(?:\([^()]*\)[^()]*)*\)|[^{};\n()]|\n(?=\s*(?:[:{,]|where\b|throws\b|->))|(?<=[:,>=])[ \t]*\n)*\{" if self.family in ("kotlin", "swift") else r"[^{};]*\{"
+        m = re.compile(head).match(self.text, at)
         return (m.end() - 1, self.ends.get(m.end() - 1, len(self.text))) if m else None
 
     def run(self) -> None:
@@ -202,7 +204,7 @@ class Braces:
         decls: list[tuple[int, int, int, str, str, dict]] = []  # name position, body, name, type, more
         objc = family == "objc"
         words = r"@interface|@implementation|@protocol" if objc else r"class|interface|enum(?:\s+class)?|record|object|struct|protocol|actor|extension"
-        for m in re.finditer(rf"(?<![\w.])({words})\s+({_WORD})", text):
+        for m in re.finditer(rf"(?<![\w.])(?<!import )({words})\s+({_WORD})", text):
             kind = _TYPE_WORDS[m[1].split()[0]]
             if objc:
                 end = text.find("@end", m.end())
@@ -210,6 +212,12 @@ class Braces:
             else:
                 span = self.body(m.end())
             head = text[m.end() : span[0] if span else m.end()]
+            if objc:  # a superclass and protocols stand on the line itself, a category's name in brackets
+                of = re.compile(rf"[ \t]*(?:\([^()\n]*\))?[ \t]*(?::[ \t]*({_WORD}))?[ \t]*(?:<([^<>\n]*)>)?").match(text, m.end())
+                head = f": {of[1]}" if of[1] else ""
+                head += "".join(f", {p.strip()}" for p in (of[2] or "").split(",") if p.strip())
+            elif span is None and family in ("kotlin", "swift"):
+                head = re.compile(r"(?:\([^()]*(?:\([^()]*\)[^()]*)*\)|[^;\n()])*").match(text, m.end())[0]
             supers = re.findall(rf"(?:extends|implements|:|,)\s*(?:[\w.]+\.)?({_WORD})", re.sub(r"<[^<>]*>|\([^()]*\)", "", head))
             name = f"{m[2]}+ext@{self.line(m.start(2))}" if kind == "Extension" else m[2]
             decls.append((m.start(2), *(span or (m.end(), m.end())), name, kind, {"supertypes": [s for s in supers if s not in _KEYWORDS]}))
@@ -243,6 +251,22 @@ class Braces:
                 for m in re.finditer(rf"(?:^|[{{}};])\s*(?:(?:static|async|get|set|public|private|protected|readonly|override)\s+)*({_WORD})\s*\(([^()]*)\)\s*(?::[^{{;\n]+)?\{{", text, re.M):
                     if m[1] not in _KEYWORDS and self.enclosing_type(m.start(1), decls):
                         decls.append((m.start(1), m.end() - 1, self.ends.get(m.end() - 1, len(text)), f"{m[1]}()", "Method", {}))
+                for at, a, b, _, kind, _ in [d for d in decls if d[4] == "Interface"]:  # signatures without a body
+                    for m in re.compile(rf"(?<=[{{;,\n])\s*(?:readonly\s+)?({_WORD})\??\s*(?:<[^<>]*>)?\(([^()]*)\)\s*(?::\s*[^;,{{}}\n]+)?(?=[;,\n}}])").finditer(text, a, b + 1):
+                        decls.append((m.start(1), m.end(), m.end(), f"{m[1]}()", "Method", {}))
+        for at, a, b, _, kind, _ in [d for d in decls if d[4] == "Enum"]:
+            for start, name in self.entries(a + 1, b):
+                decls.append((start, start, start, name, "Property" if family == "kotlin" else "Field", {}))
+        alias = {"kotlin": rf"\btypealias\s+({_WORD})", "swift": rf"\btypealias\s+({_WORD})", "ts": rf"^\s*(?:export\s+)?(?:declare\s+)?type\s+({_WORD})\s*(?:<[^=]*>)?\s*="}.get(family)
+        for m in re.finditer(alias, text, re.M) if alias else ():
+            decls.append((m.start(1), m.end(), m.end(), m[1], "TypeAlias", {}))
+        for m in re.finditer(rf"@property\s*(?:\([^()]*\))?[^;]*?({_WORD})\s*;", text) if objc else ():
+            decls.append((m.start(1), m.end(), m.end(), m[1], "Property", {}))
+        if family == "kotlin":
+            for at, _, _, _, kind, _ in [d for d in decls if d[4] in ("Class", "Enum")]:
+                params = re.compile(rf"{_WORD}\s*(?:<[^<>]*>)?\s*(?:{_MODS}constructor\s*)?\(([^()]*(?:\([^()]*\)[^()]*)*)\)").match(text, at)
+                for m in re.finditer(rf"\b(?:val|var)\s+({_WORD})", params[1] if params else ""):
+                    self.given.append((at, params.start(1) + m.start(1), m[1]))
         fields = {"java": rf"(?:^|(?<=;))[ \t]*{_MODS}([\w.<>\[\],?]+)\s+({_WORD}(?:\s*=[^,;]*)?(?:\s*,\s*{_WORD}(?:\s*=[^,;]*)?)*)\s*;", "kotlin": rf"\b(?:val|var)\s+(){_WORD}", "swift": rf"\b(?:let|var)\s+(){_WORD}"}
         decls.sort()
         scopes: list[tuple[int, int, list[str], str]] = []
@@ -259,9 +283,39 @@ class Braces:
             ident = self.sink.declare(scope, name, "Component" if component else kind, self.line(at), ".".join([*([prefix] if prefix else []), *plain]), line_end=max(self.line(at), self.line(min(b, len(self.text)))), **more)
             scopes.append((a, b, [*scope, name], ident))
             types[ident] = plain
+            for _, where, prop in [x for x in self.given if x[0] == at]:
+                self.sink.declare([*scope, name], prop, "Property", self.line(where), ".".join([*([prefix] if prefix else []), *plain, prop]))
         env = self.fields(scopes, fields.get(family), prefix)
         self.calls(scopes, {at for at, *_ in decls}, env)
 
+    def entries(self, a: int, b: int) -> list[tuple[int, str]]:
+        """Constants of the enumeration whose body is between ``a`` and ``b``: cases, or names between commas before the first semicolon."""
+        if self.family == "swift":
+            one = rf"{_WORD}(?:\([^()]*\))?(?:\s*=[^,\n;}}]*)?"
+            found = re.compile(rf"\bcase\s+({one}(?:\s*,\s*{one})*)").finditer(self.text, a, b)
+            bare = [(m.start(1), re.sub(r"\([^()]*\)|=[^,\n]*", lambda x: " " * len(x[0]), m[1])) for m in found]
+            return [(at + n.start(1), n[1]) for at, text in bare for n in re.finditer(rf"(?:^|,)\s*({_WORD})", text)]
+        if self.family == "ts" or self.family == "objc":
+            return []
+        out, depth, start = [], 0, True
+        for i in range(a, b):
+            c = self.text[i]
+            if c in "({":
+                depth += 1
+            elif c in ")}":
+                depth -= 1
+            elif depth == 0 and c == ";":
+                break
+            elif depth == 0 and c == ",":
+                start = True
+            elif depth == 0 and start and (c.isalpha() or c == "_"):
+                name = re.compile(_WORD).match(self.text, i)[0]
+                if name in ("fun", "val", "var", "override", "companion"):
+                    break
+                out.append((i, name))
+                start = False
+        return out
+
     def enclosing_type(self, at: int, decls: list) -> bool:
         return any(a < at < b and kind in ("Class", "Interface") for _, a, b, _, kind, _ in decls)
 

@@ -88,3 +88,18 @@ def test_other_languages():
     assert got["Foo"] == "Class" and got["Foo.doIt:with:"] == "Method"
     assert {(r["label"], r["receiver_type"]) for r in rows("Foo.m", objc, "ref")} == {("run:", None), ("go", "Other")}
     assert len(parse("main.go", "func main() {}")) == 1 and parse("x.java", "class { }}")[-1]["tag"] == "diagnostic"
+
+
+def test_constants_aliases_and_heads():
+    assert ids("A.java", "enum Kind { A(1), B { int x() { return 1; } }, C; private int q; Kind(int i) {} }") == {"Kind": "Enum", "Kind.A": "Field", "Kind.B": "Field", "Kind.C": "Field", "Kind.x()": "Method", "Kind.<init>(int)": "Method", "Kind.q": "Field"}
+    kotlin = "import a.b\ninterface Api\nenum class Kind(val n: Int) { A(1), B(2);\n fun f() = 1 }\nclass Two(\n  val x: Int,\n) :\n  Base(1), Api {\n  fun g() {}\n}\ntypealias T = Int\n"
+    assert ids("A.kt", kotlin) == {"import:a.b": "Module", "Api": "Interface", "Kind": "Enum", "Kind.n": "Property", "Kind.A": "Property", "Kind.B": "Property", "Kind.f()": "Method", "Two": "Class", "Two.x": "Property", "Two.g()": "Method", "T": "TypeAlias"}
+    assert {r["label"]: r["supertypes"] for r in rows("A.kt", kotlin, "node") if r["supertypes"] is not None} == {"Api": [], "Kind": [], "Two": ["Base", "Api"]}
+    swift = "import Lib\nimport class Other.Thing\nprotocol P {}\nenum Kind: String, P { case a, b(Int)\n case c = \"x\" }\ntypealias T = Int\n"
+    assert ids("A.swift", swift) == {"import:Lib": "Module", "import:Other.Thing": "Module", "P": "Protocol", "Kind": "Enum", "Kind.a": "Field", "Kind.b": "Field", "Kind.c": "Field", "T": "TypeAlias"}
+    objc = "@interface P7 : Base <One, Two>\n@property (nonatomic) NSString *name;\n- (int)run:(int)a with:(int)b;\n@end\n"
+    assert ids("A.m", objc) == {"P7": "Class", "P7.name": "Property", "P7.run:with:": "Method"}
+    assert next(r for r in rows("A.m", objc, "node") if r["label"] == "P7")["supertypes"] == ["Base", "One", "Two"]
+    ts = "export interface Api { go(a: string): void; name: string }\nexport type Alias<T> = T[];\nfunction f() { go(1); }\n"
+    assert ids("a.ts", ts) == {"Api": "Interface", "Api.go()": "Method", "Alias": "TypeAlias", "f()": "Function"}
+    assert [(r["src"], r["label"]) for r in rows("a.ts", ts, "ref")] == [("a.ts#f()", "go")]
