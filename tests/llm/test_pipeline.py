@@ -35,3 +35,15 @@ def test_stages_take_effect_and_keep_clean_documents(spark, tmp_path):
     assert got[205].text == texts[205]
     assert sizes == sorted(sizes, reverse=True) and len({r.position for r in got.values()}) == len(got)
     assert sorted(r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == sorted(got)
+
+
+def test_empty_tables(spark, tmp_path):
+    docs = "doc_id long, text string, lang string, source string, n_chars long"
+    some = [(i, f"text of the document number {i} " * 9, "en", "s", 9) for i in range(6)] + [(None, None, None, None, None), (7, "", "en", None, 0)]
+    for k, rows in enumerate(([], some)):
+        place = f"{tmp_path}/{k}"
+        spark.createDataFrame(rows, docs).write.parquet(f"{place}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{place}/labels.parquet")
+        spark.createDataFrame([], "item_id long, text string").write.parquet(f"{place}/benchmark.parquet")
+        got = corpus_pipeline.run(spark, place).collect()
+        assert len(got) == len(rows)  # without labels and items nothing is rejected; these texts are not near copies
