@@ -15,9 +15,16 @@ RUN = """id string, question_id string, arm string, repeat_index int, input_toke
 
 
 def load_questions(spark: SparkSession, path: str) -> DataFrame:
-    """Questions of a JSON file {"questions": [...]}; all that is wrong is told at once."""
+    """Questions of a JSON or YAML file {questions: [...]}; all that is wrong is told at once. YAML needs the module ``yaml``."""
     with open(path) as file:
-        listed = json.load(file)["questions"]
+        if path.endswith((".yaml", ".yml")):
+            try:
+                import yaml
+            except ModuleNotFoundError as e:
+                raise ValueError(f"{path}: YAML needs the module yaml; JSON is read without it") from e
+            listed = yaml.safe_load(file)["questions"]
+        else:
+            listed = json.load(file)["questions"]
     wrong, seen = [], set()
     for i, q in enumerate(listed):
         name = q.get("id") or f"number {i + 1}"

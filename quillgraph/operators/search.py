@@ -130,3 +130,13 @@ def match_symbols(nodes: DataFrame, tokens: list[str], module_paths: list[str],
     scored = own.withColumn("score", symbol_score(F.col("confidence"), F.array(*[F.lit(t) for t in tokens]), F.col("label"), held))
     top = scored.orderBy(F.desc("score"), "id").limit(limit)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
+
+
+def modules_by_meaning(nodes: DataFrame, question: str, similar: DataFrame | None, floor: float = 0.40, limit: int = 10) -> DataFrame:
+    """id, score, method: modules by ``similar`` (id, score) at ``floor`` or above, or, if that finds none, by the words of the question."""
+    own = nodes.where("type = 'CodeModule'")
+    if similar is not None:
+        near = similar.where(F.col("score") >= floor).join(own.select("id"), "id", "left_semi").orderBy(F.desc("score"), "id").limit(limit)
+        if not near.isEmpty():
+            return near.select("id", "score", F.lit("embedding").alias("method"))
+    return search(own, question, limit=limit).select("id", "score", F.lit("keyword").alias("method"))

@@ -58,14 +58,15 @@ def _document_rows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     column = F.concat(F.lit("column:"), art, F.lit(":"), F.col("table"), F.lit(":"), F.col("column"))
     target = F.concat(F.lit("table:"), art, F.lit(":"), F.col("target"))
     dep = F.concat(F.when(F.col("kind") == "script", F.concat(F.lit("script:"), art, F.lit(":"))).when(F.col("kind") == "project", F.lit("gradle-project:")).otherwise(F.lit("dep:")), F.col("name"))
-    pkg = F.concat(F.lit("file:"), art)
+    pkg, schema = F.concat(F.lit("file:"), art), F.concat(F.lit("schema:"), art)
     nodes = [
-        node(docs.where("type in ('MarkdownFile', 'DatabaseSchema', 'PackageFile', 'ConfigFile', 'PDF', 'Document')"), file, "File", F.substring_index("path", "/", -1), 1.0),
+        node(docs.where("type in ('MarkdownFile', 'PackageFile', 'ConfigFile', 'PDF', 'Document')"), file, "File", F.substring_index("path", "/", -1), 1.0),
         node(h, section, "Concept", F.col("label"), x.HEADING, F.col("idx") + 1),
         node(b, concept, "Concept", F.col("label"), x.CONCEPT),
         node(links, F.concat(F.lit("link:"), "destination"), "Document", F.col("destination"), x.CONCEPT),
         node(special.where("type = 'Decision'"), F.concat(F.lit("decision:"), art, F.lit(":"), "idx"), "Decision", F.col("label"), x.HEADING, F.col("idx") + 1),
         node(special.where("type = 'Requirement'"), F.concat(F.lit("requirement:"), art, F.lit(":"), "idx"), "Requirement", F.col("label"), x.CONCEPT, F.col("idx") + 1),
+        node(sql, schema, "DatabaseSchema", F.substring_index("path", "/", -1), 1.0),
         node(tables, table, "Table", F.col("table"), x.SQL_PATTERN),
         node(columns, column, "Column", F.col("column"), x.SQL_PATTERN),
         node(images, image, "Component", F.col("image"), x.DEPENDENCY),
@@ -79,7 +80,7 @@ def _document_rows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         edge(h, "contains", parent, section, "contains", x.HEADING),
         edge(b, "defines", file, concept, "defines", x.CONCEPT),
         edge(x.section_links(md), "references", F.when(F.col("label").isNull(), file).otherwise(section), F.concat(F.lit("link:"), "destination"), "references", x.CONCEPT),
-        edge(tables, "contains", file, table, "contains", x.SQL_PATTERN),
+        edge(tables, "contains", schema, table, "contains", x.SQL_PATTERN),
         edge(columns, "contains", table, column, "contains", x.SQL_PATTERN),
         edge(images, "uses", file, image, "uses", x.DEPENDENCY),
         edge(services, "contains", file, service, "contains", x.DEPENDENCY),
