@@ -150,11 +150,12 @@ def _search(rows: DataFrame, k: int, recall: float, sample: int, trials: int, ma
     distinct = cut(rows.select("id", "v").distinct().withColumn("n", F.row_number().over(_by("v", "id"))).where(F.col("n") <= k + 1).drop("n"))
     queries = cut(rows.where("q").groupBy("v").agg(F.min("id").alias("id")).select("id", "v"))
     # trial vectors are the last by hash; no tree is fitted on them unless they are a good part of all
-    trial = distinct.withColumn("h", F.xxhash64("id")).orderBy(F.desc("h"), "id").limit(trials).select("id", "v").toArrow()
+    total = distinct.count()
+    trial = _by_hash(distinct, total, trials, last=True)
     points, names = _matrix(trial["v"].combine_chunks()), trial["id"].to_numpy()
-    index = Index(distinct, sample, max_leaves, k, names.tolist())
+    index = Index(distinct, total, sample, max_leaves, k, names.tolist())
     tops, visits = _calibrate(index, k, recall, points, names)
-    found = _meet(index, index.leaves_of(queries, tops, visits), k, block)
+    found = _meet(index, index.leaves_of(queries, tops, visits).join(queries, "id"), k, block)
     # each query of the vector drops itself
     keys = queries.select(F.col("id").alias("key"), "v")
     asking = rows.where("q").select(F.col("id").alias("query_id"), "v").distinct().join(keys, "v").select("query_id", "key")
@@ -163,14 +164,27 @@ def _search(rows: DataFrame, k: int, recall: float, sample: int, trials: int, ma
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 
+def _by_hash(rows: DataFrame, total: int, n: int, last: bool = False) -> pa.Table:
+    """id, v of the first (or last) ``n`` rows by their ids' hash. Only rows under a limit that holds twice as many are ordered and sent."""
+    h, span = F.xxhash64("id"), 2 * n + 1000
+    named = rows.withColumn("h", F.bitwise_not(h) if last else h)
+    wide = 2**64 * span // max(total, 1) - 2**63
+    for some in (named.where(F.col("h") < wide) if wide < 2**63 else None, named):
+        if some is not None:
+            found = some.orderBy("h", "id").limit(n).select("id", "v").toArrow()
+            if len(found) == n:
+                break
+    return found
+
+
 class Index:
     """Vectors by leaf. ``rows``: id, v, top, sub; ``sizes``: top, sub, n; ``below``: top, tree, n of each sub, for upper leaves that have a tree."""
 
-    def __init__(self, distinct: DataFrame, sample: int, max_leaves: int, k: int, trials: list[int]):
+    def __init__(self, distinct: DataFrame, total: int, sample: int, max_leaves: int, k: int, trials: list[int]):
         spark = distinct.sparkSession
-        self.k, self.total = k, distinct.count()
+        self.k, self.total = k, total
         new = ~F.col("id").isin(trials) if self.total > 4 * len(trials) else F.lit(True)
-        own = distinct.where(new).withColumn("h", F.xxhash64("id")).orderBy("h", "id").limit(sample).select("id", "v").toArrow()
+        own = _by_hash(distinct.where(new), self.total, sample)
         self.tree = Tree(_matrix(own["v"].combine_chunks()), min(max_leaves, -(-self.total // LEAF)))
         shared = spark.sparkContext.broadcast(self.tree)
 
@@ -229,7 +243,7 @@ class Index:
         return met.select("top", "asks", "id", "v", "tree", "filled").mapInArrow(work, schema)
 
     def leaves_of(self, queries: DataFrame, tops: int, visits: int) -> DataFrame:
-        """id, v, top, sub, turn: the leaves that each of queries(id, v) visits, with their turn."""
+        """id, top, sub, turn: the leaves that each of queries(id, v) visits, with their turn. Vectors do not go through the ranking."""
         spark = queries.sparkSession
         plan = spark.sparkContext.broadcast((self.tree, self.filled))
         k = self.k
@@ -250,14 +264,14 @@ class Index:
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(chosen, pa.list_(pa.struct([("top", pa.int32()), ("far", pa.float64()), ("n", pa.int64())])))], names=["id", "v", "tops"])
 
         asked = queries.select("id", "v").mapInArrow(walk, "id long, v array<double>, tops array<struct<top:int,far:double,n:bigint>>").select("id", "v", F.explode("tops").alias("t"))
-        direct = asked.select("id", "v", F.col("t.top").alias("top"), F.lit(-1).alias("sub"), F.col("t.far").alias("far"), F.col("t.n").alias("n"))
+        direct = asked.select("id", F.col("t.top").alias("top"), F.lit(-1).alias("sub"), F.col("t.far").alias("far"), F.col("t.n").alias("n"))
         if self.below is not None:
-            into = self._through(self.below, asked.select("id", "v", F.col("t.top").alias("top")), lambda b: _look(b, visits, k), "id long, v array<double>, top int, sub int, far double, n long")
-            direct = direct.join(self.deal.select("top"), "top", "left_anti").select("id", "v", "top", "sub", "far", "n").unionByName(into)
+            into = self._through(self.below, asked.select("id", "v", F.col("t.top").alias("top")), lambda b: _look(b, visits, k), "id long, top int, sub int, far double, n long")
+            direct = direct.join(self.deal.select("top"), "top", "left_anti").select("id", "top", "sub", "far", "n").unionByName(into)
         order = Window.partitionBy("id").orderBy("far", "top", "sub")
         before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         ranked = direct.withColumn("turn", F.row_number().over(order)).withColumn("rows", before)
-        return ranked.where((F.col("turn") <= visits) | (F.col("rows") <= k)).select("id", "v", "top", "sub", "turn")
+        return ranked.where((F.col("turn") <= visits) | (F.col("rows") <= k)).select("id", "top", "sub", "turn")
 
 
 def _with_trees(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Tree, dict, pa.RecordBatch]]:
@@ -295,7 +309,7 @@ def _look(batches: Iterator[pa.RecordBatch], visits: int, k: int) -> Iterator[pa
                 if seen >= visits and rows > k:
                     break
         at = pa.array(which, pa.int64())
-        yield pa.RecordBatch.from_arrays([b.column(2).take(at), b.column(3).take(at), b.column(0).take(at), pa.array(subs, pa.int32()), pa.array(fars, pa.float64()), pa.array(sizes, pa.int64())], names=["id", "v", "top", "sub", "far", "n"])
+        yield pa.RecordBatch.from_arrays([b.column(2).take(at), b.column(0).take(at), pa.array(subs, pa.int32()), pa.array(fars, pa.float64()), pa.array(sizes, pa.int64())], names=["id", "top", "sub", "far", "n"])
 
 
 def _calibrate(index: Index, k: int, recall: float, points: np.ndarray, names: np.ndarray) -> tuple[int, int]:
@@ -327,9 +341,11 @@ def _calibrate(index: Index, k: int, recall: float, points: np.ndarray, names: n
     turn_of = {int(n): {top: t for t, (top, _) in enumerate(index.tree.visits(x), 1)} for n, x in zip(names.tolist(), points, strict=True)}
     tops = _quantile([turn_of[r.q][r.top] for r in near], (1 + recall) / 2)
     ask = spark.createDataFrame([(int(n), x.tolist()) for n, x in zip(names.tolist(), points, strict=True)], "id long, v array<double>")
+    # of the leaves that are visited, which grow with the rows, only those of true neighbours reach the driver: trials times k at most
+    wanted = F.broadcast(spark.createDataFrame(sorted({(r.q, r.top, r.sub) for r in near}), "id long, top int, sub int"))
     visits = 2 * tops
     while True:
-        seen = {(r.id, r.top, r.sub): r.turn for r in index.leaves_of(ask, tops, visits).select("id", "top", "sub", "turn").collect()}
+        seen = {(r.id, r.top, r.sub): r.turn for r in index.leaves_of(ask, tops, visits).join(wanted, ["id", "top", "sub"]).collect()}
         turns = [seen.get((r.q, r.top, r.sub), np.inf) for r in near]
         if (need := _quantile(turns, recall)) < np.inf:
             return tops, int(need)

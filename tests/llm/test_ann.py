@@ -72,3 +72,32 @@ def test_lengths_do_not_mix(spark):
     rows = [(i, [float(i), 1.0, 2.0][: 2 + i % 2], None) for i in range(1, 41)]
     got = search(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 20 == 0, k=3).collect()
     assert {r.query_id for r in got} == {20, 40} and all(r.vec_id % 2 == 0 for r in got)
+
+
+def test_calibration_collects_no_visited_leaves(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from quillgraph.llm import ann
+
+    sizes = []
+    collect = DataFrame.collect
+    monkeypatch.setattr(DataFrame, "collect", lambda self: [sizes.append(len(rows := collect(self))), rows][1])
+    monkeypatch.setattr(ann, "LEAF", 4)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(2000, 24)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist(), "x") for i, v in enumerate(x)], SCHEMA)
+    # in so many dimensions a trial visits most of the leaves, but has two neighbours only
+    ann.search(df, F.col("vec_id") % 500 == 0, k=2, sample=400, trials=40, max_leaves=200)
+    assert max(sizes) <= 200, sizes
+
+
+@pytest.mark.parametrize("last", [False, True])
+def test_rows_by_hash(spark, last):
+    from quillgraph.llm.ann import _by_hash
+
+    df = spark.range(5000).select("id", F.array(F.col("id").cast("double")).alias("v"))
+    order = df.withColumn("h", F.xxhash64("id")).orderBy(F.desc("h") if last else "h")
+    want = [r.id for r in order.limit(50).collect()]
+    assert _by_hash(df, 5000, 50, last)["id"].to_pylist() == want
+    assert _by_hash(df, 10**9, 50, last)["id"].to_pylist() == want  # a limit that is too low
+    assert len(_by_hash(df, 5000, 9000, last)) == 5000
