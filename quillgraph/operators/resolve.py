@@ -17,6 +17,10 @@ CAP = 3
 #: Rung names with their confidence when one candidate is left and when several are.
 RUNGS = [("local_scope", 0.97, 0.75), ("file_imports", 0.93, 0.65), ("same_directory", 0.87, 0.55), ("repo_unique_name", 0.80, 0.45)]
 SIBLING = IMPLEMENTS = 0.98
+#: Rows of a table of counts that is broadcast; a larger one is met by shuffle.
+FEW = 100_000
+#: Candidates by rung: all, and those declared by the receiver's type.
+COUNTS = [f"{kind}{k}" for k in range(len(RUNGS)) for kind in "ao"]
 
 
 def candidates(refs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -61,6 +65,73 @@ def with_rung(cands: DataFrame, imports: DataFrame | None = None) -> DataFrame:
     return out.withColumn("rung", rung).drop("_base", "_imported", "_file", "_dir", "_near", "_mine", "_theirs", "_declared_by")
 
 
+def _callables(nodes: DataFrame) -> DataFrame:
+    """Callable nodes with the keys by which they are counted."""
+    ident = F.col("id")
+    return nodes.where(F.col("type").isin(CALLABLE) & F.col("label").isNotNull()).select(
+        F.col("label").alias("name"), ident.alias("candidate"), declaring_type(ident).alias("_by"), file_of(ident).alias("_file"),
+        basename_of(file_of(ident)).alias("_base"), directory_of(file_of(ident)).alias("_dir"), scope_of(ident).alias("_theirs"),
+    )
+
+
+def _counted(calls: DataFrame, name: str, *keys: str) -> DataFrame:
+    """Rows of ``calls`` by keys, to be joined: in a broadcast where they are few, so that references, which are many, are not dealt out for it."""
+    counts = calls.where(F.col("_by").isNotNull()) if "_by" in keys else calls
+    counts = settle(counts.groupBy(*keys).agg(F.count("*").alias(name)))
+    return F.broadcast(counts) if counts.count() <= FEW else counts
+
+
+def candidate_counts(refs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """name, n: the rows of ``candidates`` by name, as the product of both sides' counts."""
+    theirs = _callables(nodes).groupBy("name").agg(F.count("*").alias("_theirs"))
+    return refs.groupBy("name").agg(F.count("*").alias("n")).join(theirs, "name").select("name", (F.col("n") * F.col("_theirs")).alias("n"))
+
+
+def narrow_counts(refs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """ref_id, n: the rows of ``narrow(candidates(...))`` by reference, from counts by name and declaring type."""
+    calls = _callables(nodes)
+    told = refs.select("ref_id", "name", F.col("receiver_type").alias("_by")).join(_counted(calls, "_all", "name"), "name").join(_counted(calls, "_own", "name", "_by"), ["name", "_by"], "left")
+    each = told.groupBy("ref_id").agg(F.sum("_all").alias("_all"), F.sum("_own").alias("_own"))
+    return each.select("ref_id", F.coalesce("_own", "_all").alias("n"))
+
+
+def lowest_rungs(refs: DataFrame, nodes: DataFrame, imports: DataFrame | None = None) -> DataFrame:
+    """ref_id, rung, n: the lowest rung of each reference in ``with_rung(narrow(candidates(...)), imports)``, and the rows that it has there.
+
+    Candidates are counted by name, directory and imported file, each by declaring type too; only those of the
+    reference's own file and the referrer itself are listed. Counts of a rung include lower rungs, which are empty where it is the lowest.
+    """
+    calls = settle(_callables(nodes))
+    keep = ["ref_id", "name", "_by"]
+    told = refs.select("ref_id", "name", F.col("receiver_type").alias("_by"), "referrer", "path")
+    wide = told.select(*keep, directory_of(F.col("path")).alias("_dir")).join(_counted(calls, "a3", "name"), "name").join(_counted(calls, "o3", "name", "_by"), ["name", "_by"], "left")
+    wide = wide.join(_counted(calls, "a2", "name", "_dir"), ["name", "_dir"], "left").join(_counted(calls, "o2", "name", "_dir", "_by"), ["name", "_dir", "_by"], "left")
+    # files that declare or import something are met once: by path, and by the referrer's file where that is another
+    files = calls.select(F.col("_file").alias("path"), F.lit(None).cast("string").alias("_base")).distinct()
+    if imports is not None:
+        files = files.unionByName(imports.select("path", F.col("token").alias("_base")).where("_base <> ''").distinct())
+    source = file_of(F.col("referrer"))
+    at = F.when(source.eqNullSafe(F.col("path")), F.array("path")).otherwise(F.array(F.col("path"), source))
+    met = settle(told.withColumn("_at", F.explode(at)).join(files.withColumnRenamed("path", "_at"), "_at"))
+    via = met.where("_base is not null and _at = path").join(_counted(calls, "a1", "name", "_base"), ["name", "_base"]).join(_counted(calls, "o1", "name", "_base", "_by"), ["name", "_base", "_by"], "left")
+    # the same file, and the referrer where that is elsewhere
+    mine, theirs = F.col("_mine"), F.col("_theirs")
+    inside = (F.size(theirs) > F.size(mine)) & (F.slice(theirs, F.lit(1), F.greatest(F.size(mine), F.lit(1))) == mine)
+    up, their_up = (F.slice(c, F.lit(1), F.greatest(F.size(c) - 1, F.lit(0))) for c in (mine, theirs))
+    local = (F.size(mine) > 0) & (F.size(theirs) > 0) & (inside | ((F.size(up) > 0) & (up == their_up)))
+    itself = F.coalesce(F.col("candidate") == F.col("referrer"), F.lit(False))
+    named = calls.select("name", "candidate", F.col("_by").alias("_theirs_by"), F.col("_file").alias("_at"), "_theirs")
+    there = met.where("_base is null").withColumn("_mine", scope_of(F.col("referrer"))).join(named, ["name", "_at"]).where(itself | (local & (F.col("_at") == F.col("path"))))
+    fits = F.when(F.col("_theirs_by") == F.col("_by"), F.lit(1).cast("long"))
+    listed = there.select("ref_id", F.lit(1).cast("long").alias("a0"), fits.alias("o0"))
+    every = listed
+    for part in (via, wide):
+        every = every.unionByName(part.select("ref_id", *[c for c in part.columns if c in COUNTS]), allowMissingColumns=True)
+    sums = every.groupBy("ref_id").agg(*[F.sum(c).alias(c) for c in COUNTS])
+    rung = lambda kind: F.coalesce(*[F.when(F.col(f"{kind}{k}") > 0, F.struct(F.lit(k).alias("rung"), F.col(f"{kind}{k}").alias("n"))) for k in range(len(RUNGS))])
+    return sums.select("ref_id", F.when(F.col("o3") > 0, rung("o")).otherwise(rung("a")).alias("l")).select("ref_id", "l.rung", "l.n")
+
+
 def choose(cands: DataFrame, cap: int = CAP) -> DataFrame:
     """Candidates of each reference's lowest rung, with ``confidence``; none where these are more than ``cap``."""
     low = cands.withColumn("_low", F.min("rung").over(Window.partitionBy("ref_id"))).where("rung = _low").drop("_low")

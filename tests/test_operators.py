@@ -179,3 +179,43 @@ def test_windows_of_time_across_stretches(spark):
     df = spark.createDataFrame([("k", t0) for t0 in times] + [("z", 5)], "k string, s long").selectExpr("k", "s", "timestamp_seconds(s) as ts")
     got = {(r.k, r.s): r.in_window for r in stats.rate_window(df, "ts", "k", 60).collect()}
     assert got == {**{("k", a): sum(a - 60 <= b <= a for b in times) for a in times}, ("z", 5): 1}
+
+
+def test_counted_rungs_are_those_of_listed_candidates(spark):
+    """Counts against the listed candidates: types, imports, directories, own files, repeated rows and ids."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from quillgraph.operators import resolve as r
+
+    rng = random.Random(5)
+    ids = [f"{d}/{f}.java#{t}.{n}" for d in "ab" for f in "fgh" for t in ("T", "U", "T.V") for n in ("run", "go")] + ["top.java#run", "a/f.java"]
+    nodes = spark.createDataFrame([(i, k, i.split(".")[-1]) for i in ids for k in ("Method",) * rng.randint(1, 2)] + [("x#T.run", "Field", "run"), ("y#T.q", "Method", None)], "id string, type string, label string")
+    refs = []
+    for k in range(300):
+        at = rng.choice(ids)
+        path = at.split("#")[0] if rng.random() < 0.8 else rng.choice(["c/z.java", None, "top.java"])
+        refs.append((f"r{k // 2 if k < 20 else k}", rng.choice(["run", "go", "none"]), at if rng.random() < 0.9 else None, path, k, rng.choice(["T", "U", "V", "W", None])))
+    refs = spark.createDataFrame(refs, "ref_id string, name string, referrer string, path string, line int, receiver_type string")
+    imports = spark.createDataFrame([("a/f.java", "g"), ("a/f.java", "g"), ("c/z.java", "h"), ("b/g.java", ""), ("top.java", "f")], "path string, token string")
+    listed = r.candidates(refs, nodes)
+    narrowed = r.narrow(listed)
+    assert sorted(r.candidate_counts(refs, nodes).collect()) == sorted(listed.groupBy("name").count().collect())
+    assert sorted(r.narrow_counts(refs, nodes).collect()) == sorted(narrowed.groupBy("ref_id").count().collect())
+    for told in (imports, None):
+        by = r.with_rung(narrowed, told).groupBy("ref_id", "rung").agg(F.count("*").alias("n"))
+        want = by.groupBy("ref_id").agg(F.min(F.struct("rung", "n")).alias("l")).select("ref_id", "l.rung", "l.n").collect()
+        got = r.lowest_rungs(refs, nodes, told).collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and {x.rung for x in got} >= ({0, 1, 2, 3} if told else {0, 2, 3})
+
+
+def test_common_names_are_counted_not_listed(spark):
+    from quillgraph.operators import resolve as r
+
+    n = 200_000  # 4e10 pairs
+    nodes = spark.range(n).selectExpr("concat('d/P', id, '.java#T', id % 5, '.run') as id", "'Method' as type", "'run' as label")
+    refs = spark.range(n).selectExpr("cast(id as string) as ref_id", "'run' as name", "concat('e/O', id, '.java#O.run') as referrer", "concat('e/O', id, '.java') as path", "0 as line", "concat('T', id % 10) as receiver_type")
+    assert [tuple(x) for x in r.candidate_counts(refs, nodes).collect()] == [("run", n * n)]
+    assert sorted(map(tuple, r.narrow_counts(refs, nodes).groupBy("n").count().collect())) == [(n // 5, n // 2), (n, n // 2)]
+    assert sorted(map(tuple, r.lowest_rungs(refs, nodes).groupBy("rung", "n").count().collect())) == [(3, n // 5, n // 2), (3, n, n // 2)]
